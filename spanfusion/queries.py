@@ -1,6 +1,206 @@
-"""The queries of the alignment operators: name -> function of a session and a folder of tables."""
+"""The queries of the alignment operators: name -> function of a session and a folder of tables, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spanfusion.functions.text import normal_text
+from spanfusion.operators import align as alignment
+from spanfusion.operators import intervals, markdown, resolve, spans
+from spanfusion.plans.process import process
+from spanfusion.sources.files import mime_of_content
+
+PER_PAGE = 10
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as Markdown: a page and a chunk for each ten, with markers before some."""
+    mark = F.when(F.col("i") % 7 == 3, "<!--table-->\n").otherwise(F.when(F.col("i") % 11 == 5, "<!--figure-->\n").otherwise(""))
+    lines = _lines(spark, sf_dir).select("doc_id", F.expr("i div 10").cast("int").alias("chunk_idx"), F.struct("i", F.concat(mark, "line").alias("t")).alias("x"))
+    parts = F.array_sort(F.collect_list("x"))
+    return lines.groupBy("doc_id", "chunk_idx").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("markdown"))
+
+
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = F.struct((F.col("i") % 10 * 100).cast("int").alias("top"), F.lit(50).alias("left"), (F.col("i") % 10 * 100 + 80).cast("int").alias("bottom"), F.lit(950).alias("right"))
+    rows = _lines(spark, sf_dir).where(F.trim("line") != "")
+    return rows.select("doc_id", (F.col("doc_id") * 1_000_000 + F.col("i")).alias("anchor_id"), F.col("line").alias("text"), F.expr("i div 10").cast("int").alias("page"), F.array(box).alias("boxes"))
+
+
+def _line_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Texts without formulas, and a span around each of their full lines."""
+    plain = _read(spark, sf_dir, "documents").select("doc_id", F.translate("text", "$", "S").alias("markdown"))
+    lines = plain.select("doc_id", F.posexplode(F.split("markdown", "\n", -1)).alias("i", "line"))
+    upto = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.withColumn("end", (F.sum(F.length("line") + 1).over(upto) - 1).cast("int")).withColumn("start", F.col("end") - F.length("line"))
+    box = F.struct((F.col("i") % 10 * 100).cast("int").alias("top"), F.lit(50).alias("left"), (F.col("i") % 10 * 100 + 80).cast("int").alias("bottom"), F.lit(950).alias("right"))
+    return plain, placed.select("doc_id", F.col("i").alias("ord"), "start", "end", F.expr("i div 10").cast("int").alias("page"), F.array(box).alias("boxes"))
+
+
+def _ranges(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
+    e = _read(spark, sf_dir, "events").where((F.col("event_id") % 2 == odd) & F.col("value").isNotNull())
+    s = F.floor(F.col("value") * 100).cast("long")
+    return e.select("user_id", s.alias("s"), (s + 1 + F.col("event_id") % 500).alias("e"))
+
+
+def interval_union(spark, sf_dir):
+    return intervals.union(_ranges(spark, sf_dir, 0), _ranges(spark, sf_dir, 1), ["user_id"])
+
+
+def interval_intersect(spark, sf_dir):
+    return intervals.intersect(_ranges(spark, sf_dir, 0), _ranges(spark, sf_dir, 1), ["user_id"])
+
+
+def interval_subtract(spark, sf_dir):
+    return intervals.subtract(_ranges(spark, sf_dir, 0), _ranges(spark, sf_dir, 1), ["user_id"])
+
+
+def interval_predicates(spark, sf_dir):
+    """Counts, for each user, of pairs of an even and an odd range that hold each predicate."""
+    a = _ranges(spark, sf_dir, 0)
+    b = _ranges(spark, sf_dir, 1).select("user_id", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    held = a.join(b, "user_id").groupBy("user_id").agg(
+        F.count_if(intervals.overlaps(F.col("s"), F.col("e"), F.col("s2"), F.col("e2"))).alias("n_overlaps"),
+        F.count_if(intervals.contained(F.col("s"), F.col("e"), F.col("s2"), F.col("e2"))).alias("n_contained"),
+        F.count_if(intervals.in_range(F.col("s"), F.col("s2"), F.col("e2"))).alias("n_in_range"),
+    )
+    return held
+
+
+def normalize_text(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", normal_text(F.col("text")).alias("norm"))
+
+
+def renumber_markers(spark, sf_dir):
+    return markdown.renumber_markers(_chunks(spark, sf_dir))
+
+
+def assemble_markdown(spark, sf_dir):
+    return markdown.assemble(_chunks(spark, sf_dir))
+
+
+def parse_segments(spark, sf_dir):
+    made = markdown.assemble(_chunks(spark, sf_dir)).select("doc_id", F.concat(F.lit("<!--page-->"), "markdown").alias("markdown"))
+    return markdown.parse_segments(made)
+
+
+def annotate_lines(spark, sf_dir):
+    return spans.annotate(*_line_spans(spark, sf_dir))
+
+
+def strip_lines(spark, sf_dir):
+    return spans.plain_text(spans.annotate(*_line_spans(spark, sf_dir)))
+
+
+def validation_map(spark, sf_dir):
+    found = spans.validation_map(spans.annotate(*_line_spans(spark, sf_dir)))
+    return found.select("doc_id", "start", "end", "page", F.col("boxes")[0]["top"].alias("top"))
+
+
+def span_coverage(spark, sf_dir):
+    plain, placed = _line_spans(spark, sf_dir)
+    return spans.coverage(plain, placed)
+
+
+def sniff_files(spark, sf_dir):
+    """Kinds told by the first bytes of contents made up for each document."""
+    head = F.element_at(F.array(*(F.unhex(F.lit(x)) for x in ("255044462D", "89504E470D0A1A0A00", "FFD8FFE0", "524946460000000057454250", "00"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    made = _read(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.col("text").cast("binary")).alias("content"))
+    return made.select("doc_id", mime_of_content(F.col("content")).alias("mime_type"), F.sha2("content", 256).alias("document_sha256"))
+
+
+def high_confidence_hits(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").where(F.col("value").isNotNull())
+    hits = e.select(F.col("user_id").alias("anchor_id"), F.col("event_type").alias("frag"), F.col("event_id").alias("hit"), F.col("value").alias("score"))
+    return alignment.high_confidence(hits, ["anchor_id"], 0.98)
+
+
+def align_documents(spark, sf_dir):
+    return process(_chunks(spark, sf_dir), _anchors(spark, sf_dir))
+
+
+def align_spans(spark, sf_dir):
+    return alignment.align(markdown.assemble(markdown.renumber_markers(_chunks(spark, sf_dir))), _anchors(spark, sf_dir))
+
+
+def resolve_quotes(spark, sf_dir):
+    """The first line of each document and a part of its last, looked for in the annotated text."""
+    plain, placed = _line_spans(spark, sf_dir)
+    lines = F.split(F.col("markdown"), "\n", -1)
+    quotes = plain.select("doc_id", F.explode(F.array(F.element_at(lines, 1), F.substring(F.element_at(lines, -1), 1, 60))).alias("quote"))
+    return resolve.resolve(spans.annotate(plain, placed), quotes)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        interval_union, interval_intersect, interval_subtract, interval_predicates, normalize_text, renumber_markers, assemble_markdown, parse_segments,
+        annotate_lines, strip_lines, validation_map, span_coverage, sniff_files, high_confidence_hits, align_documents, align_spans, resolve_quotes,
+    )
+}
+
+_RANGES = """
+ra AS (SELECT user_id, CAST(floor(value * 100) AS BIGINT) AS s, CAST(floor(value * 100) AS BIGINT) + 1 + event_id % 500 AS e, event_id % 2 AS side FROM events WHERE value IS NOT NULL)"""
+
+_SWEEP = """WITH {ranges},
+edges AS (
+  SELECT user_id, s AS pos, CASE side WHEN 0 THEN 1 ELSE 0 END AS a, CASE side WHEN 1 THEN 1 ELSE 0 END AS b FROM ra
+  UNION ALL SELECT user_id, e, CASE side WHEN 0 THEN -1 ELSE 0 END, CASE side WHEN 1 THEN -1 ELSE 0 END FROM ra),
+sums AS (SELECT user_id, pos, sum(a) AS a, sum(b) AS b FROM edges GROUP BY user_id, pos),
+run AS (SELECT user_id, pos, sum(a) OVER w AS a, sum(b) OVER w AS b FROM sums WINDOW w AS (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+ons AS (SELECT user_id, pos, {holds} AS held FROM run),
+turns AS (SELECT user_id, pos, held, coalesce(lag(held) OVER (PARTITION BY user_id ORDER BY pos), false) AS was FROM ons),
+cut AS (SELECT user_id, pos, held, lead(pos) OVER (PARTITION BY user_id ORDER BY pos) AS nxt FROM turns WHERE held <> was)
+SELECT user_id, pos AS s, nxt AS e FROM cut WHERE held"""
+
+_LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)"
+_PLAIN = "lines AS (SELECT doc_id, unnest(string_split(replace(text, '$', 'S'), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)"
+_BARE = "CASE WHEN i % 7 = 3 THEN '<!--table-->' || chr(10) WHEN i % 11 = 5 THEN '<!--figure-->' || chr(10) ELSE '' END || line"
+_PLACED = "placed AS (SELECT doc_id, i, line, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS INTEGER) AS e FROM lines)"
+
+ORACLES = {
+    "interval_union": _SWEEP.format(ranges=_RANGES.strip(), holds="a > 0 OR b > 0"),
+    "interval_intersect": _SWEEP.format(ranges=_RANGES.strip(), holds="a > 0 AND b > 0"),
+    "interval_subtract": _SWEEP.format(ranges=_RANGES.strip(), holds="a > 0 AND NOT b > 0"),
+    "interval_predicates": f"""WITH {_RANGES.strip()}
+SELECT x.user_id, count(*) FILTER (x.s < y.e AND x.e > y.s) AS n_overlaps, count(*) FILTER (x.s >= y.s AND x.e <= y.e) AS n_contained,
+  count(*) FILTER (y.s <= x.s AND x.s < y.e) AS n_in_range
+FROM ra x JOIN ra y ON x.user_id = y.user_id AND x.side = 0 AND y.side = 1 GROUP BY x.user_id""",
+    "normalize_text": """SELECT doc_id, trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(8490), 'abcdefghijklmnopqrstuvwxyzk'), '[^a-z0-9]+', ' ', 'g'), ' ') AS norm
+FROM documents""",
+    "renumber_markers": f"""WITH {_LINES},
+kinds AS (SELECT doc_id, line, i, CASE WHEN i % 7 = 3 THEN 'table' WHEN i % 11 = 5 THEN 'figure' END AS kind FROM lines),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY i) AS n FROM kinds)
+SELECT doc_id, CAST(i // 10 AS INTEGER) AS chunk_idx,
+  string_agg(CASE WHEN kind IS NULL THEN '' ELSE '<!--' || kind || ': ' || n || '-->' || chr(10) END || line, chr(10) || chr(10) ORDER BY i) AS markdown
+FROM numbered GROUP BY doc_id, i // 10""",
+    "assemble_markdown": f"""WITH {_LINES},
+chunks AS (SELECT doc_id, i // 10 AS c, string_agg({_BARE}, chr(10) || chr(10) ORDER BY i) AS t FROM lines GROUP BY doc_id, i // 10)
+SELECT doc_id, string_agg(t, chr(10) || chr(10) || '<!--page-->' || chr(10) || chr(10) ORDER BY c) AS markdown FROM chunks GROUP BY doc_id""",
+    "annotate_lines": f"""WITH {_PLAIN}
+SELECT doc_id, string_agg(CASE WHEN line = '' THEN '' ELSE '<span data-bbox="' || (i % 10 * 100) || ',50,' || (i % 10 * 100 + 80) || ',950" data-page="' || (i // 10) || '">' || line || '</span>' END, chr(10) ORDER BY i) AS annotated
+FROM lines GROUP BY doc_id""",
+    "strip_lines": "SELECT doc_id, replace(text, '$', 'S') AS plain_text FROM documents",
+    "validation_map": f"""WITH {_PLAIN}, {_PLACED}
+SELECT doc_id, CAST(e - length(line) AS INTEGER) AS "start", e AS "end", CAST(i // 10 AS INTEGER) AS page, CAST(i % 10 * 100 AS INTEGER) AS top FROM placed WHERE line <> ''""",
+    "span_coverage": f"""WITH {_PLAIN}
+SELECT d.doc_id, coalesce(CAST(sum(length(line)) AS DOUBLE) / nullif(any_value(length(d.text)), 0), 0.0) AS coverage
+FROM documents d LEFT JOIN lines USING (doc_id) GROUP BY d.doc_id""",
+    "sniff_files": """WITH made AS (
+  SELECT doc_id, unhex(CASE doc_id % 5 WHEN 0 THEN '255044462D' WHEN 1 THEN '89504E470D0A1A0A00' WHEN 2 THEN 'FFD8FFE0' WHEN 3 THEN '524946460000000057454250' ELSE '00' END) || encode(text) AS content FROM documents)
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'image/webp' END AS mime_type, sha256(content) AS document_sha256
+FROM made""",
+    "high_confidence_hits": """WITH ranked AS (
+  SELECT user_id AS anchor_id, event_type AS frag, event_id AS hit, value AS score, row_number() OVER w AS place, lead(value) OVER w AS second
+  FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY value DESC, event_type, event_id))
+SELECT anchor_id, frag, hit, score FROM ranked WHERE place = 1 AND (second IS NULL OR second < score * 0.98)""",
+}
