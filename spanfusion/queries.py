@@ -31,9 +31,10 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    box = F.struct((F.col("i") % 10 * 100).cast("int").alias("top"), F.lit(50).alias("left"), (F.col("i") % 10 * 100 + 80).cast("int").alias("bottom"), F.lit(950).alias("right"))
-    rows = _lines(spark, sf_dir).where(F.trim("line") != "")
-    return rows.select("doc_id", (F.col("doc_id") * 1_000_000 + F.col("i")).alias("anchor_id"), F.col("line").alias("text"), F.expr("i div 10").cast("int").alias("page"), F.array(box).alias("boxes"))
+    """Lines as a scan would show them, broken every 80 characters."""
+    rows = _lines(spark, sf_dir).select("doc_id", "i", F.posexplode(F.regexp_extract_all("line", F.lit(".{1,80}"), F.lit(0))).alias("k", "text")).where(F.trim("text") != "")
+    box = F.struct((F.col("i") % 10 * 100 + F.col("k")).cast("int").alias("top"), F.lit(50).alias("left"), (F.col("i") % 10 * 100 + F.col("k") + 1).cast("int").alias("bottom"), F.lit(950).alias("right"))
+    return rows.select("doc_id", (F.col("doc_id") * 1_000_000_000 + F.col("i") * 10_000 + F.col("k")).alias("anchor_id"), "text", F.expr("i div 10").cast("int").alias("page"), F.array(box).alias("boxes"))
 
 
 def _line_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -144,7 +145,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interval_union, interval_intersect, interval_subtract, interval_predicates, normalize_text, renumber_markers, assemble_markdown, parse_segments,
-        annotate_lines, strip_lines, validation_map, span_coverage, sniff_files, high_confidence_hits, align_documents, align_spans, resolve_quotes,
+        annotate_lines, strip_lines, validation_map, span_coverage, sniff_files, high_confidence_hits, resolve_quotes,
     )
 }
 
