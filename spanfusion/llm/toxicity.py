@@ -186,9 +186,9 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> di
 
     rows_ = map_slices(sample, measure, "toxic int, x array<double>", 2).toPandas()
     y = rows_["toxic"].to_numpy(dtype=float)
-    x = np.array([list(v) for v in rows_["x"]]).reshape(len(y), -1)
     if len(set(y)) < 2:
         return {"lexicon": lexicon, "coef": np.zeros(8), "bias": 3.0 if len(y) and y[0] else -3.0, "mean": np.zeros(8), "scale": np.ones(8)}
+    x = np.array([list(v) for v in rows_["x"]])
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = np.column_stack(((x - mean) / scale, np.ones(len(y))))
     w = np.zeros(z.shape[1])
