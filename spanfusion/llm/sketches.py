@@ -56,6 +56,43 @@ def by_document(d: np.ndarray, m: np.ndarray, p: np.ndarray) -> tuple[np.ndarray
     return d[start], m[start], [pack(p[a:b]) for a, b in zip(start, np.append(start[1:], len(d)), strict=True)] if len(d) else []
 
 
+GATHER = "deal int, kind int, ids binary, marks binary, counts binary, places binary"
+
+
+def dealt(d: np.ndarray, m: np.ndarray, p: np.ndarray, kind: int, n: int) -> Iterator[list]:
+    """Rows of GATHER: the places of one kind, packed for each of ``n`` shares of the documents."""
+    share = (mix(d.view(np.uint64) ^ mix(m.view(np.uint64))) % np.uint64(n)).astype(np.int64)
+    order = np.lexsort((p, m, d, share))
+    edges = np.searchsorted(share[order], np.arange(n + 1))
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        if a < b:
+            own = order[a:b]
+            yield [k, kind, *pack_places(d[own], m[own], p[own])]
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """(id, m, kind, places) with a row for each document and kind, from rows of GATHER."""
+    out_kind = T.StructType.fromDDL("id long, m long, kind int, places binary")
+
+    def merge(table: pa.Table) -> pa.Table:
+        columns = [[], [], [], []]
+        kinds = table.column("kind").to_numpy()
+        for kind in np.unique(kinds):
+            own = table.filter(pa.array(kinds == kind))
+            parts = [unpack_places(*(r[c] for c in ("ids", "marks", "counts", "places"))) for r in own.to_pylist()]
+            ids, marks, bodies = by_document(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            for column, values in zip(columns, (ids, marks, [int(kind)] * len(bodies), bodies), strict=True):
+                column.extend(values)
+        return pa.Table.from_arrays([pa.array(v, type=f.type) for v, f in zip(columns, to_arrow_schema(out_kind), strict=True)], schema=to_arrow_schema(out_kind))
+
+    return rows.groupBy("deal").applyInArrow(merge, out_kind)
+
+
+def rows_table(rows: list[list], ddl: T.StructType) -> pa.Table:
+    out = to_arrow_schema(ddl)
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(out)], schema=out)
+
+
 def width_bits(items: int) -> int:
     """Cells of a row, as a power of two: about twice the items, within fixed bounds."""
     return int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(max(2, 2 * items))))))

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanfusion.llm.common import mix, slices, utf8
-from spanfusion.llm.sketches import by_document, maybe_repeated, pack_places, repeated_cells, unpack, unpack_places, width_bits
+from spanfusion.llm.sketches import GATHER, dealt, gathered, maybe_repeated, pack_places, repeated_cells, rows_table, unpack, unpack_places, width_bits
 
 WIDTH = 13
 SEND = 2_000_000
@@ -145,11 +145,10 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         if size:
             yield from send(found)
 
-    verdict = T.StructType.fromDDL("id long, mark long, places binary")
+    verdict = T.StructType.fromDDL(GATHER)
 
     def decide(table: pa.Table) -> pa.Table:
-        """Places of windows of one part of the hashes that a smaller id holds too, by document."""
-        out = to_arrow_schema(verdict)
+        """Places of windows of one part of the hashes that a smaller id holds too."""
         done, rest = [], []
         for r in table.to_pylist():
             x = unpack_places(r["ids"], r["marks"], r["counts"], r["places"])
@@ -162,11 +161,11 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             own = d > smallest
             done.append((d[own], m[own], p[own]))
         d, m, p = (np.concatenate(x) for x in zip(*done, strict=True))
-        return pa.Table.from_arrays([pa.array(v, type=f.type) for v, f in zip(by_document(d, m, p), out, strict=True)], schema=out)
+        return rows_table(list(dealt(d, m, p, 0, n)), verdict)
 
     sent = known.select("doc_id", "mark", "text").mapInArrow(estimate, kind)
-    found = sent.groupBy("part").applyInArrow(decide, verdict).groupBy("id", "mark").agg(F.collect_list("places").alias("places"))
-    joined = docs.join(found, (docs["doc_id"] == found["id"]) & (docs["mark"] == found["mark"]), "left").select("doc_id", "text", "places")
+    found = gathered(sent.groupBy("part").applyInArrow(decide, verdict))
+    joined = docs.join(found, (docs["doc_id"] == found["id"]) & (docs["mark"] == found["m"]), "left").select("doc_id", "text", "places")
     result = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string")
 
     def finish(batches):
@@ -175,8 +174,8 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             for piece in slices(batch, 1):
                 raw, begin, end, h, at = words(piece.column(1).to_pylist())
                 gone = np.zeros(len(begin) + 1, dtype=np.int64)
-                for i, lists in enumerate(piece.column(2).to_pylist()):
-                    for body in lists or ():
+                for i, body in enumerate(piece.column(2).to_pylist()):
+                    if body:
                         p = unpack(body) + at[i]
                         np.add.at(gone, p, 1)
                         np.add.at(gone, p + width, -1)
