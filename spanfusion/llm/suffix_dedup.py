@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanfusion.llm.bytestrings import Joined
 from spanfusion.llm.common import slices, stored, thinned
-from spanfusion.llm.sketches import by_document, maybe_repeated, pack_places, repeated_cells, unpack, unpack_places, width_bits
+from spanfusion.llm.sketches import GATHER, dealt, gathered, maybe_repeated, pack_places, repeated_cells, rows_table, unpack, unpack_places, width_bits
 
 WIDTH = 400
 PIECE = 1 << 20
@@ -122,11 +122,10 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         if size:
             yield from send()
 
-    verdict_kind = _schema("id long, m long, kind int, places binary")
+    verdict_kind = _schema(GATHER)
 
     def judge(table: pa.Table) -> pa.Table:
         """Kind 0: all strings of the anchor are repeated. Kind 1: they are to be compared one by one."""
-        out = to_arrow_schema(verdict_kind)
         whole, rest = [], []
         for r in table.to_pylist():
             x = unpack_places(r["ids"], r["marks"], r["counts"], r["places"])
@@ -152,15 +151,10 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             compare = (~same & (per_gram[gram] > 1)) | (same & (kinds[gram] > 1) & (first[kind] == np.arange(len(kind))))
             open_ = [d[compare], m[compare], a[compare]]
         done = [np.concatenate(x) for x in zip(*whole, strict=True)] if whole else [np.zeros(0, np.int64)] * 3
-        columns = [[], [], [], []]
-        for code, x in ((0, done), (1, open_)):
-            ids, marks, bodies = by_document(*x)
-            for column, values in zip(columns, (ids, marks, [code] * len(bodies), bodies), strict=True):
-                column.extend(values)
-        return pa.Table.from_arrays([pa.array(v, type=f.type) for v, f in zip(columns, out, strict=True)], schema=out)
-
-    verdicts = stored(known.mapInArrow(survey, sent_kind).groupBy("part").applyInArrow(judge, verdict_kind))
-    compared = verdicts.where("kind = 1").groupBy("id", "m").agg(F.collect_list("places").alias("places"))
+        return rows_table([*dealt(*done, 0, n), *dealt(*open_, 1, n)], verdict_kind)
+
+    verdicts = stored(gathered(known.mapInArrow(survey, sent_kind).groupBy("part").applyInArrow(judge, verdict_kind)))
+    compared = verdicts.where("kind = 1").select("id", "m", "places")
     near = thinned(known, "mark", verdicts.where("kind = 1").select("m"))
     pairs = near.join(compared, (near["key"] == compared["id"]) & (near["mark"] == compared["m"])).select("key", "mark", "text", "places")
     strings_kind = _schema("part int, ids binary, marks binary, counts binary, places binary, h binary, v binary, twice binary")
@@ -188,7 +182,7 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                 text = Joined(texts)
                 a, lo, hi = text.anchors(width)
                 doc = np.searchsorted(text.at, a, side="right") - 1
-                wanted = [np.concatenate([unpack(x) for x in lists]) + text.at[i] for i, lists in enumerate(piece.column(3).to_pylist())]
+                wanted = [unpack(x) + text.at[i] for i, x in enumerate(piece.column(3).to_pylist())]
                 keep = np.isin(a, np.concatenate(wanted))
                 doc, lo, count = doc[keep], lo[keep], (hi - lo + 1)[keep]
                 run = np.cumsum(count) - count
@@ -204,7 +198,6 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def match(table: pa.Table) -> pa.Table:
         """Kind 2: a repeated string starts here."""
-        out = to_arrow_schema(verdict_kind)
         done, rest = [], []
         for r in table.to_pylist():
             x = unpack_places(r["ids"], r["marks"], r["counts"], r["places"])
@@ -218,10 +211,9 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             group, count = _groups(h, v)
             again = np.bincount(group, weights=twice, minlength=len(count)) + count > 1
             done.append(tuple(x[again[group]] for x in (d, m, s)))
-        ids, marks, bodies = by_document(*(np.concatenate(x) for x in zip(*done, strict=True)))
-        return pa.Table.from_arrays([pa.array(x, type=f.type) for x, f in zip((ids, marks, [2] * len(bodies), bodies), out, strict=True)], schema=out)
+        return rows_table(list(dealt(*(np.concatenate(x) for x in zip(*done, strict=True)), 2, n)), verdict_kind)
 
-    singles = pairs.mapInArrow(strings, strings_kind).groupBy("part").applyInArrow(match, verdict_kind)
+    singles = gathered(pairs.mapInArrow(strings, strings_kind).groupBy("part").applyInArrow(match, verdict_kind))
     every = verdicts.where("kind = 0").unionByName(singles).groupBy("id", "m").agg(F.collect_list(F.struct("kind", "places")).alias("found"))
     joined = docs.join(every, (docs["key"] == every["id"]) & (docs["mark"] == every["m"]), "left").select("doc_id", "text", "found")
     result = _schema("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
