@@ -6,9 +6,10 @@ are folded into a parity bitmap, the odd sketch: the share of bits in which two
 sketches differ tells how many samples differ. A pair of classes that shares a
 band and whose sketches allow the similarity is confirmed on the full sets.
 
-A band's members are first linked to its earliest one. Members of one component
-need no more comparison; only bands whose members are still in several
-components have the pairs between these weighed, in blocks.
+A band's members are first compared to its earliest one, then for some turns to
+one of the band's largest component. Members of one component need no more
+comparison; only bands whose members are still in several components have the
+pairs between these weighed, in blocks.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ SIMILARITY = 85  # in hundredths
 BANDS, ROWS = 40, 4  # a pair at the similarity shares no band with a chance of 1.5e-13
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-SLACK = 0.19  # six standard deviations of a similarity of 0.85 told from the samples
+SLACK = 0.16  # over five standard deviations of a similarity of 0.85 told from the samples
+TURNS = 2
 BLOCK = 2048
 _FACTORS = (np.random.default_rng(17).integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
@@ -85,12 +87,11 @@ def most_bits(similarity: float) -> int:
 
 
 def cluster(documents: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id and n_links of every document.
+    """doc_id, n_shingles, component_id, kept and class_id of every document.
 
     Links join documents whose sets meet ``100 * shared >= similarity * all``;
-    ``component_id`` is the smallest id that links lead to, and ``n_links`` the
-    confirmed links of the document's class to other classes. A document
-    without words or text has an empty set and is linked with nothing. Rows
+    ``component_id`` is the smallest id that links lead to, and ``class_id``
+    tells equal sets. A document without words or text has an empty set and is linked with nothing. Rows
     without an id take part, but the component goes by the smallest id there
     is; where there is none it is missing, and a row without an id is kept only
     in a component without ids. Repeated rows each give a row of one class.
@@ -119,26 +120,30 @@ def cluster(documents: DataFrame, shingle: int = SHINGLE, similarity: int = SIMI
     classes = stored(sets.groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     members = stored(_bands(sets, n))
 
-    stars = members.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
-    links = stored(_confirmed(docs, classes, _weighed(stars, classes, similarity), shingle, similarity))
+    full = stored(_full_sets(docs, classes, members.select("cls").distinct(), shingle))
+    stars = members.where("cls <> leader").select(F.least("leader", "cls").alias("a"), F.greatest("leader", "cls").alias("b")).distinct()
+    tried = stored(_weighed(stars, classes, similarity))
+    links = stored(_confirmed(full, tried, similarity))
     roots = components(links)
-    open_ = _open_pairs(members, classes, roots, similarity, n)
-    more = stored(_confirmed(docs, classes, open_, shingle, similarity))
-    if more.limit(1).count():
-        links = links.unionByName(more)
+    for turn in range(TURNS):
+        stars = stored(_weighed(_turn(members, roots, turn), classes, similarity).join(tried, ["a", "b"], "left_anti"))
+        if not stars.limit(1).count():
+            break
+        tried = tried.unionByName(stars)
+        links = stored(links.unionByName(_confirmed(full, stars, similarity)))
+        roots = components(links)
+    open_ = stored(_open_pairs(members, classes, roots, similarity, n).join(tried, ["a", "b"], "left_anti"))
+    if open_.limit(1).count():
+        links = links.unionByName(_confirmed(full, open_, similarity))
         roots = components(links)
 
     rooted = sets.select("cls", "doc_id").join(roots, F.col("cls") == F.col("node"))
     lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("far"))
     of_class = roots.join(lowest, "root").select(F.col("node").alias("cls"), "far")
-    ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
-    named = classes.select("cls", "low").join(of_class, "cls", "left").join(ends, "cls", "left")
-    named = named.select(F.col("cls").alias("c"), F.coalesce("far", "low").alias("found"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = classes.select("cls", "low").join(of_class, "cls", "left").select(F.col("cls").alias("c"), F.coalesce("far", "low").alias("found"))
     joined = meta.select("doc_id", "n_shingles", "cls").join(named, F.col("cls") == F.col("c"), "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("found"))
-    return joined.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("cls").alias("class_id"))
 
 
 def _bands(sets: DataFrame, n: int) -> DataFrame:
@@ -185,10 +190,17 @@ def _weighed(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame
     return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """The pairs whose full sets have the similarity."""
-    pairs = stored(pairs)
-    nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+def _turn(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a band's members with one of the band's largest component, for members of others."""
+    rooted = members.join(roots, F.col("cls") == F.col("node"), "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
+    parts = rooted.groupBy("band", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("band", F.lit(turn), "cls"), "cls")).alias("one"))
+    heads = parts.groupBy("band").agg(F.max(F.struct("n", "root", "one")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    pairs = rooted.join(heads.select("band", F.col("top.root").alias("head"), F.col("top.one.cls").alias("other")), "band").where("root <> head")
+    return pairs.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+
+
+def _full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(cls, n, shingles) of the given classes, each from its document with the smallest id."""
     wanted = stored(nodes.join(classes, "cls").select("cls", "low"))
     kind = T.StructType.fromDDL("cls long, n long, shingles array<long>")
 
@@ -198,16 +210,17 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: i
             for part in slices(batch, 0):
                 found = [x for x in shingle_sets(part.column(0).to_pylist(), shingle) if len(x)]
                 if found:
-                    cls = signature_class(found)
-                    yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip((cls, [len(x) for x in found], [x.view(np.int64) for x in found]), out, strict=True)], schema=out)
+                    yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip((signature_class(found), [len(x) for x in found], [x.view(np.int64) for x in found]), out, strict=True)], schema=out)
 
     texts = thinned(docs, "doc_id", wanted.select("low")).join(wanted.select("low").distinct(), F.col("doc_id").eqNullSafe(F.col("low")))
-    sets = texts.select("text").mapInArrow(rebuild, kind).join(wanted.select("cls"), "cls").dropDuplicates(["cls"])
-    sets = stored(sets)
+    return texts.select("text").mapInArrow(rebuild, kind).join(wanted.select("cls"), "cls").dropDuplicates(["cls"])
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
+    """The pairs whose full sets have the similarity."""
     a = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("xa"))
     b = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("xb"))
-    shared = F.size(F.array_intersect("xa", "xb"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", shared.alias("shared"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).alias("shared"))
     return both.where(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * similarity).select("a", "b")
 
 
