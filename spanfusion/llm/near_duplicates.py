@@ -3,8 +3,11 @@
 A document's set holds its distinct word shingles. Documents of equal sets make
 a class. The MinHash samples of a set are hashed in BANDS bands of ROWS, and
 are folded into a parity bitmap, the odd sketch: the share of bits in which two
-sketches differ tells how many samples differ. A pair of classes that shares a
-band and whose sketches allow the similarity is confirmed on the full sets.
+sketches differ tells how many samples differ. A second bitmap holds the parity
+of the whole set: each shingle that only one of two sets has flips one bit, so
+the unequal bits are never more than such shingles, and a pair that they rule
+out is never a link. A pair of classes that shares a band and whose sketches
+allow the similarity is confirmed on the full sets.
 
 A band's members are first compared to its earliest one, then for some turns to
 one of the band's largest component. Members of one component need no more
@@ -30,6 +33,7 @@ SIMILARITY = 85  # in hundredths
 BANDS, ROWS = 40, 4  # a pair at the similarity shares no band with a chance of 1.5e-13
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
+PARITY_BITS = 2048
 SLACK = 0.16  # over five standard deviations of a similarity of 0.85 told from the samples
 TURNS = 2
 BLOCK = 2048
@@ -53,7 +57,7 @@ def shingle_sets(texts: list[str | None], shingle: int) -> list[np.ndarray]:
 
 
 def signature(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class hash, MinHash samples [sets, SAMPLES] and odd sketch [sets, 8] of non-empty sets."""
+    """Class hash, MinHash samples [sets, SAMPLES], and odd sketch with the parity of the set [sets, 40] of non-empty sets."""
     flat = np.concatenate(found)
     start = np.cumsum([0, *map(len, found)])[:-1]
     low = (flat >> np.uint64(32)).astype(np.uint32)
@@ -63,9 +67,15 @@ def signature(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
             samples[:, k] = np.minimum.reduceat(low * _FACTORS[k], start)
     # A sample flips the bit that its number and value hash to.
     bit = (mix(samples.astype(np.uint64) | (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    counts = np.bincount((bit + np.arange(len(found))[:, None] * SKETCH_BITS).ravel(), minlength=len(found) * SKETCH_BITS)
-    sketch = np.packbits((counts & 1).astype(np.uint8).reshape(len(found), -1), axis=1).view(np.int64)
-    return signature_class(found), samples, sketch
+    sketch = parities(bit.ravel(), np.full(len(found), SAMPLES), SKETCH_BITS)
+    whole = parities((mix(flat) % np.uint64(PARITY_BITS)).astype(np.int64), np.array([len(x) for x in found]), PARITY_BITS)
+    return signature_class(found), samples, np.concatenate((sketch, whole), axis=1)
+
+
+def parities(bit: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """Bitmaps [sets, bits / 64] of the parity of each bit, from the bits of all sets one after the other."""
+    flips = np.bincount(bit + np.repeat(np.arange(len(counts)) * bits, counts), minlength=len(counts) * bits)
+    return np.packbits((flips & 1).astype(np.uint8).reshape(len(counts), -1), axis=1).view(np.int64)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -91,7 +101,7 @@ def cluster(documents: DataFrame, shingle: int = SHINGLE, similarity: int = SIMI
 
     Links join documents whose sets meet ``100 * shared >= similarity * all``;
     ``component_id`` is the smallest id that links lead to, and ``class_id``
-    tells equal sets. A document without words or text has an empty set and is linked with nothing. Rows
+    the smallest id with an equal set. A document without words or text has an empty set and is linked with nothing. Rows
     without an id take part, but the component goes by the smallest id there
     is; where there is none it is missing, and a row without an id is kept only
     in a component without ids. Repeated rows each give a row of one class.
@@ -140,10 +150,10 @@ def cluster(documents: DataFrame, shingle: int = SHINGLE, similarity: int = SIMI
     rooted = sets.select("cls", "doc_id").join(roots, F.col("cls") == F.col("node"))
     lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("far"))
     of_class = roots.join(lowest, "root").select(F.col("node").alias("cls"), "far")
-    named = classes.select("cls", "low").join(of_class, "cls", "left").select(F.col("cls").alias("c"), F.coalesce("far", "low").alias("found"))
+    named = classes.select("cls", "low").join(of_class, "cls", "left").select(F.col("cls").alias("c"), "low", F.coalesce("far", "low").alias("found"))
     joined = meta.select("doc_id", "n_shingles", "cls").join(named, F.col("cls") == F.col("c"), "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("found"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("cls").alias("class_id"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("low").alias("class_id"))
 
 
 def _bands(sets: DataFrame, n: int) -> DataFrame:
@@ -186,7 +196,9 @@ def _weighed(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame
     a = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    flips = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_BITS // 64, (SKETCH_BITS + PARITY_BITS) // 64)), F.lit(0))
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity) & (differ <= most_bits(similarity / 100))
+    near &= flips * (100 + similarity) <= (F.col("na") + F.col("nb")) * (100 - similarity)
     return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
 
 
@@ -248,6 +260,7 @@ def _open_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, simila
     def weigh(table: pa.Table) -> pa.Table:
         band, i, j, own, cls, root, items = (table.column(c).to_numpy() for c in ("band", "i", "j", "own", "cls", "root", "items"))
         sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(cls), -1).view(np.uint64)
+        odd, whole = np.split(sketch, [SKETCH_BITS // 64], axis=1)
         order = np.lexsort((cls, j, i, band))
         key = np.stack((band, i, j))[:, order]
         start = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))))
@@ -261,8 +274,11 @@ def _open_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, simila
                 ok = root[some][:, None] != root[right][None]
                 ok &= np.minimum(items[some][:, None], items[right]) * 100 >= np.maximum(items[some][:, None], items[right]) * similarity
                 p, q = np.nonzero(ok)
-                differ = np.bitwise_count(sketch[some[p]] ^ sketch[right[q]]).sum(1, dtype=np.int64)
+                differ = np.bitwise_count(odd[some[p]] ^ odd[right[q]]).sum(1, dtype=np.int64)
                 p, q = p[differ <= most], q[differ <= most]
+                flips = np.bitwise_count(whole[some[p]] ^ whole[right[q]]).sum(1, dtype=np.int64)
+                near = flips * (100 + similarity) <= (items[some[p]] + items[right[q]]) * (100 - similarity)
+                p, q = p[near], q[near]
                 if len(p):
                     u, v = cls[some[p]], cls[right[q]]
                     seen.append(np.stack((np.minimum(u, v), np.maximum(u, v))))
