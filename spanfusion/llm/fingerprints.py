@@ -20,13 +20,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spanfusion.llm.common import codes, map_slices, mix, slices, stored, utf8
+from spanfusion.llm.common import codes, mix, slices, stored, utf8
 from spanfusion.llm.components import components
 
 SLOTS = 128
 BLOCK = 512
 BANDS, BAND_BITS = 24, 24
 SIMILARITY = 0.8
+CROWD = 2048
+NEXT = 8
+CHUNK = 1 << 18
+PART_CLASSES = 20_000
 MAX_STEPS = 1 << 40
 
 
@@ -164,44 +168,171 @@ def fingerprint(documents: DataFrame) -> DataFrame:
     return with_next(documents, 4 * n).mapInArrow(run, kind)
 
 
-def link(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``prints`` with near_id: the smallest id that near fingerprints lead to.
+def planes(marks: list[str]) -> np.ndarray:
+    """Written fingerprints as four planes of SLOTS bits, uint64 [marks, 4 * SLOTS / 64]: a symbol's bits lie in one place of each."""
+    rows = np.frombuffer(bytes.fromhex("".join(marks)), dtype=np.uint8).reshape(len(marks), SLOTS // 2)
+    bits = np.unpackbits(rows, axis=1).reshape(len(marks), SLOTS, 4)
+    return np.packbits(bits.transpose(0, 2, 1).reshape(len(marks), -1), axis=1).view(np.uint64)
 
-    Bands of sampled bits bring candidates together; each is verified against
-    the first fingerprint of its band by its share of equal symbols. Equal
-    fingerprints are one class. Fingerprints that share no band with a like
-    one stay alone; a class without any id has no near_id.
-    """
-    prints = stored(prints)
-    own = stored(prints.select("doc_id", "fingerprint").where(F.col("doc_id").isNotNull()))
-    classes = stored(own.groupBy("fingerprint").agg(F.min("doc_id").alias("id")))
 
-    def build():
-        def bands(ids, marks):
-            rows = np.frombuffer(bytes.fromhex("".join(marks)), dtype=np.uint8).reshape(len(marks), -1)
-            bits = np.unpackbits(rows, axis=1)
-            keys = []
-            for b, chosen in enumerate(_BANDS):
-                keys.append(np.packbits(bits[:, chosen], axis=1).astype(np.int64) @ np.array([1 << 16, 1 << 8, 1]) + (b << 32))
-            return np.repeat(np.array(ids, np.int64), BANDS), np.stack(keys, axis=1).ravel()
+def near(marks: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """If rows ``a`` and ``b`` of ``marks`` differ in ``most`` symbols at most; the first half of the symbols rules most pairs out."""
+    width = SLOTS // 64
 
-        return bands
+    def unlike(a, b, word):
+        return np.bitwise_count(np.bitwise_or.reduce([marks[a, p] ^ marks[b, p] for p in range(word, 4 * width, width)]))
 
-    spread = map_slices(classes.select("id", "fingerprint"), build, "id long, band long")
-    first = spread.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
-    pairs = spread.join(first, "band").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    left = classes.select(F.col("id").alias("a"), F.col("fingerprint").alias("fa"))
-    right = classes.select(F.col("id").alias("b"), F.col("fingerprint").alias("fb"))
+    out = np.ones(len(a), dtype=bool)
+    differ, left = np.zeros(len(a), dtype=np.int64), np.arange(len(a))
+    for word in range(width):
+        differ[left] += unlike(a[left], b[left], word)
+        out[left] = differ[left] <= most
+        left = left[out[left]]
+    return out
 
-    def verify():
-        def check(a, b, fa, fb):
-            x, y = (np.frombuffer(bytes.fromhex("".join(f)), dtype=np.uint8).reshape(len(f), -1) for f in (fa, fb))
-            same = (((x >> 4) == (y >> 4)).sum(1) + ((x & 15) == (y & 15)).sum(1)) / SLOTS
-            return [i for i, s in zip(a, same, strict=True) if s >= similarity], [i for i, s in zip(b, same, strict=True) if s >= similarity]
 
-        return check
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (the smallest index of each component) after links between ``a`` and ``b``."""
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            return label
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, up := label[label]):
+            label = up
 
-    links = map_slices(pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb"), verify, "a long, b long")
+
+def band_keys(marks: np.ndarray) -> np.ndarray:
+    """A hash for each band [marks, BANDS], from planes."""
+    bits = np.unpackbits(marks.view(np.uint8), axis=1).reshape(len(marks), 4, SLOTS).transpose(0, 2, 1).reshape(len(marks), -1)
+    keys = [np.packbits(bits[:, chosen], axis=1).astype(np.uint64) @ np.array([1 << 16, 1 << 8, 1], dtype=np.uint64) | np.uint64(b << 32) for b, chosen in enumerate(_BANDS)]
+    return (mix(np.stack(keys, axis=1)) >> np.uint64(32)).astype(np.uint32)
+
+
+def link(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``prints`` with near_id: the smallest id that near fingerprints lead to.
+
+    Bands of symbols bring candidates together, and all members of a band that
+    no link has joined yet are compared by their share of equal symbols, those
+    of a large band in hashed blocks. Equal fingerprints are one class; a class
+    without any id has no near_id.
+    """
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = stored(prints)
+    own = prints.select("doc_id", "fingerprint").where(F.col("doc_id").isNotNull())
+    classes = stored(own.groupBy("fingerprint").agg(F.min("doc_id").alias("id")))
+    most = SLOTS - int(np.ceil(SLOTS * similarity - 1e-9))
+    met = stored(_met(classes, most, max(n, classes.count() // PART_CLASSES)))
+    links = met.where(F.col("band").isNull()).select("a", "b")
     roots = components(links)
+    crowded = met.where(F.col("band").isNotNull()).select("band", F.col("a").alias("id"))
+    if crowded.limit(1).count():
+        links = links.unionByName(_open_links(crowded, classes, roots, most, n))
+        roots = components(links)
     named = classes.join(roots, F.col("id") == F.col("node"), "left").select(F.col("fingerprint").alias("f"), F.coalesce("root", "id").alias("near_id"))
     return prints.join(named, F.col("fingerprint") == F.col("f"), "left").drop("f")
+
+
+def _met(classes: DataFrame, most: int, parts: int) -> DataFrame:
+    """Links (a, b) between members of a band, and a row (band, a) for each member of a band of over CROWD.
+
+    A share of the bands gets a fingerprint once, with its bands there. Links
+    are given as those that join the components which a share found. The
+    members of a crowded band are compared with its first and a few next ones.
+    """
+    sent_kind = T.StructType.fromDDL("part int, ids binary, marks binary, counts binary, keys binary")
+    kind = T.StructType.fromDDL("a long, b long, band long")
+
+    def send(batches):
+        out = to_arrow_schema(sent_kind)
+        for batch in batches:
+            for piece in slices(batch, rows=4096):
+                ids = np.array(piece.column(0).to_pylist(), dtype=np.int64)
+                marks = planes(piece.column(1).to_pylist())
+                keys = band_keys(marks)
+                bands = keys.shape[1]
+                keys = keys.ravel()
+                part = (mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                start = np.flatnonzero(np.diff(part[order], prepend=-1))
+                columns = [[], [], [], [], []]
+                for x, y in zip(start, np.append(start[1:], len(order)), strict=True):
+                    at = order[x:y]
+                    who, count = np.unique(at // bands, return_counts=True)
+                    for column, v in zip(columns, (int(part[at[0]]), ids[who].tobytes(), marks[who].tobytes(), count.astype(np.uint16).tobytes(), keys[at].tobytes()), strict=True):
+                        column.append(v)
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(columns, out, strict=True)], schema=out)
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, marks, counts, keys = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("ids", np.int64), ("marks", np.uint64), ("counts", np.uint16), ("keys", np.uint32)))
+        marks = marks.reshape(len(ids), -1)
+        who = np.repeat(np.arange(len(ids)), counts)
+        order = np.lexsort((ids[who], keys))
+        who, keys = who[order], keys[order]
+        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        size = np.diff(np.append(start, len(keys)))
+        first, size = np.repeat(start, size), np.repeat(size, size)
+        end, crowded = first + size, size > CROWD
+        label = np.arange(len(ids))
+
+        def compare(label, i, j):
+            for x in range(0, len(i), CHUNK):
+                a, b = who[i[x : x + CHUNK]], who[j[x : x + CHUNK]]
+                open_ = label[a] != label[b]
+                a, b = a[open_], b[open_]
+                found = near(marks, a, b, most)
+                label = join_labels(label, a[found], b[found])
+            return label
+
+        i = np.flatnonzero(crowded)
+        label = compare(label, first[i], i)
+        i, step = np.arange(len(keys)), 1
+        while len(i := i[(i + step < end[i]) & ((step <= NEXT) | ~crowded[i])]):
+            label = compare(label, i, i + step)
+            step += 1
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        held = np.flatnonzero(crowded)
+        a = np.concatenate((ids[moved], ids[who[held]]))
+        b = pa.array(np.concatenate((ids[label[moved]], np.zeros(len(held), np.int64))))
+        band = pa.array(np.concatenate((np.zeros(len(moved), np.int64), keys[held].astype(np.int64))), mask=np.arange(len(a)) < len(moved))
+        return pa.Table.from_arrays([pa.array(a), b, band], schema=to_arrow_schema(kind))
+
+    return classes.select("id", "fingerprint").mapInArrow(send, sent_kind).groupBy("part").applyInArrow(meet, kind)
+
+
+def _open_links(crowded: DataFrame, classes: DataFrame, roots: DataFrame, most: int, n: int) -> DataFrame:
+    """Links between members (band, id) of one band in different components, from blocks of CROWD members."""
+    rooted = crowded.join(roots, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("band", "size")
+    left = rooted.join(mixed, "band").join(classes, "id")
+    blocks = F.ceil(F.col("size") / CROWD).cast("int")
+    dealt = left.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "fingerprint")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("band", "i", "j"), F.lit(4 * n)))
+    kind = T.StructType.fromDDL("a long, b long")
+
+    def weigh(table: pa.Table) -> pa.Table:
+        band, i, j, own, ids, root = (table.column(c).to_numpy() for c in ("band", "i", "j", "own", "id", "root"))
+        marks = planes(table.column("fingerprint").to_pylist())
+        label = np.unique(root, return_index=True, return_inverse=True)
+        label = label[1][label[2]]
+        order = np.lexsort((j, i, band))
+        key = np.stack((band, i, j))[:, order]
+        start = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))))
+        label = join_labels(np.arange(len(ids)), np.arange(len(ids)), label)
+        for a, b in zip(start, np.append(start[1:], len(order)), strict=True):
+            rows = order[a:b]
+            left, right = rows[own[rows] == i[rows[0]]], rows[own[rows] == j[rows[0]]]
+            for x in range(0, len(left), 128):
+                some = left[x : x + 128]
+                p, q = np.nonzero(label[some][:, None] != label[right][None])
+                p, q = some[p], right[q]
+                found = near(marks, p, q, most)
+                label = join_labels(label, p[found], q[found])
+        far = np.flatnonzero(root != root[label])
+        return pa.Table.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], schema=to_arrow_schema(kind))
+
+    return dealt.groupBy("part").applyInArrow(weigh, kind).distinct()

@@ -101,6 +101,37 @@ def test_fingerprints(spark, docs, none):
     assert near[40 * 3 + 1] == 1 and near[41 * 3 + 1] == 4
 
 
+def prints_of(spark, marks: np.ndarray):
+    return spark.createDataFrame(list(enumerate(fingerprints.written(marks))), "doc_id long, fingerprint string")
+
+
+def least_near(marks: np.ndarray) -> list[int]:
+    """The smallest row of each component of rows with SIMILARITY or more equal symbols."""
+    low = np.arange(len(marks))
+    like = np.stack([(marks == m).mean(axis=1) >= fingerprints.SIMILARITY for m in marks])
+    while True:
+        new = np.where(like, low[None], len(marks)).min(axis=1)
+        if (new == low).all():
+            return low.tolist()
+        low = new
+
+
+def test_fingerprint_links_do_not_depend_on_a_bands_first(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    marks = rng.integers(0, 16, (60, fingerprints.SLOTS), dtype=np.uint8)
+    shared = np.unique(np.random.default_rng(100).choice(fingerprints.SLOTS * 4, 24, replace=False) // 4)
+    for k in range(20, 40):  # rows k and k + 20 are near; what they share of their bands the unrelated row k - 20 shares too
+        marks[k - 20, shared] = marks[k, shared]
+        marks[k + 20] = marks[k]
+        marks[k + 20, rng.permutation(np.setdiff1d(np.arange(fingerprints.SLOTS), shared))[:25]] ^= 15
+    want = least_near(marks)
+    assert want == [*range(40), *range(20, 40)]
+    for crowd in (2048, 1):
+        monkeypatch.setattr(fingerprints, "CROWD", crowd, raising=False)
+        got = {r.doc_id: r.near_id for r in fingerprints.link(prints_of(spark, marks)).collect()}
+        assert [got[k] for k in range(60)] == want
+
+
 def test_viterbi_equals_one_pass():
     rng = np.random.default_rng(0)
     for _ in range(30):
