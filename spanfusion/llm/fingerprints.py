@@ -25,7 +25,6 @@ from spanfusion.llm.components import components
 
 SLOTS = 128
 BLOCK = 512
-BANDS, BAND_BITS = 24, 24
 SIMILARITY = 0.8
 CROWD = 2048
 NEXT = 8
@@ -47,7 +46,6 @@ def _places() -> list[np.ndarray]:
 
 
 _PLACES = _places()
-_BANDS = [np.random.default_rng(100 + b).choice(SLOTS * 4, BAND_BITS, replace=False) for b in range(BANDS)]
 
 
 def fingerprints(texts: list[np.ndarray]) -> np.ndarray:
@@ -168,11 +166,16 @@ def fingerprint(documents: DataFrame) -> DataFrame:
     return with_next(documents, 4 * n).mapInArrow(run, kind)
 
 
-def planes(marks: list[str]) -> np.ndarray:
-    """Written fingerprints as four planes of SLOTS bits, uint64 [marks, 4 * SLOTS / 64]: a symbol's bits lie in one place of each."""
+def read(marks: list[str]) -> np.ndarray:
+    """The symbols of written fingerprints."""
     rows = np.frombuffer(bytes.fromhex("".join(marks)), dtype=np.uint8).reshape(len(marks), SLOTS // 2)
-    bits = np.unpackbits(rows, axis=1).reshape(len(marks), SLOTS, 4)
-    return np.packbits(bits.transpose(0, 2, 1).reshape(len(marks), -1), axis=1).view(np.uint64)
+    return np.stack((rows >> 4, rows & 15), axis=2).reshape(len(marks), SLOTS)
+
+
+def planes(symbols: np.ndarray) -> np.ndarray:
+    """Symbols as four planes of SLOTS bits, uint64 [marks, 4 * SLOTS / 64]: a symbol's bits lie in one place of each."""
+    bits = np.unpackbits(symbols[:, :, None], axis=2)[:, :, 4:]
+    return np.packbits(bits.transpose(0, 2, 1).reshape(len(symbols), -1), axis=1).view(np.uint64)
 
 
 def near(marks: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -204,20 +207,26 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def band_keys(marks: np.ndarray) -> np.ndarray:
-    """A hash for each band [marks, BANDS], from planes."""
-    bits = np.unpackbits(marks.view(np.uint8), axis=1).reshape(len(marks), 4, SLOTS).transpose(0, 2, 1).reshape(len(marks), -1)
-    keys = [np.packbits(bits[:, chosen], axis=1).astype(np.uint64) @ np.array([1 << 16, 1 << 8, 1], dtype=np.uint64) | np.uint64(b << 32) for b, chosen in enumerate(_BANDS)]
-    return (mix(np.stack(keys, axis=1)) >> np.uint64(32)).astype(np.uint32)
+def band_keys(symbols: np.ndarray, most: int) -> np.ndarray:
+    """A hash for each of ``most + 1`` bands that share out all symbols: of two fingerprints that differ in ``most`` symbols, one band is equal."""
+    spots = np.array_split(np.random.default_rng(100).permutation(SLOTS), most + 1)
+    keys = np.empty((len(symbols), len(spots)), dtype=np.uint64)
+    for b, own in enumerate(spots):
+        key = np.full(len(symbols), b + 1, dtype=np.uint64)
+        for s in own:
+            key = mix(key << np.uint64(4) ^ symbols[:, s].astype(np.uint64))
+        keys[:, b] = key
+    return (keys >> np.uint64(32)).astype(np.uint32)
 
 
 def link(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``prints`` with near_id: the smallest id that near fingerprints lead to.
 
-    Bands of symbols bring candidates together, and all members of a band that
+    The symbols are shared out among one band more than two near fingerprints
+    may differ in, so that these have an equal band. All members of a band that
     no link has joined yet are compared by their share of equal symbols, those
-    of a large band in hashed blocks. Equal fingerprints are one class; a class
-    without any id has no near_id.
+    of a large band in hashed blocks: no link is missed. Equal fingerprints are
+    one class; a class without any id has no near_id.
     """
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prints = stored(prints)
@@ -250,8 +259,8 @@ def _met(classes: DataFrame, most: int, parts: int) -> DataFrame:
         for batch in batches:
             for piece in slices(batch, rows=4096):
                 ids = np.array(piece.column(0).to_pylist(), dtype=np.int64)
-                marks = planes(piece.column(1).to_pylist())
-                keys = band_keys(marks)
+                symbols = read(piece.column(1).to_pylist())
+                marks, keys = planes(symbols), band_keys(symbols, most)
                 bands = keys.shape[1]
                 keys = keys.ravel()
                 part = (mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
@@ -316,7 +325,7 @@ def _open_links(crowded: DataFrame, classes: DataFrame, roots: DataFrame, most:
 
     def weigh(table: pa.Table) -> pa.Table:
         band, i, j, own, ids, root = (table.column(c).to_numpy() for c in ("band", "i", "j", "own", "id", "root"))
-        marks = planes(table.column("fingerprint").to_pylist())
+        marks = planes(read(table.column("fingerprint").to_pylist()))
         label = np.unique(root, return_index=True, return_inverse=True)
         label = label[1][label[2]]
         order = np.lexsort((j, i, band))

@@ -132,6 +132,18 @@ def test_fingerprint_links_do_not_depend_on_a_bands_first(spark, monkeypatch):
         assert [got[k] for k in range(60)] == want
 
 
+def test_fingerprint_links_down_to_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    size, marks = fingerprints.SLOTS, rng.integers(0, 16, (1200, fingerprints.SLOTS), dtype=np.uint8)
+    for k in range(600):  # likenesses of 0.80 for half of the pairs, and 0.79 (no link) to 0.91 for the others
+        marks[k + 600] = marks[k]
+        marks[k + 600, rng.permutation(size)[: 25 if k % 2 else rng.integers(12, 28)]] ^= 15
+    got = {r.doc_id: r.near_id for r in fingerprints.link(prints_of(spark, marks)).collect()}
+    want = least_near(marks)
+    assert sum(a != k for k, a in enumerate(want)) > 500
+    assert [got[k] for k in range(1200)] == want
+
+
 def test_viterbi_equals_one_pass():
     rng = np.random.default_rng(0)
     for _ in range(30):
