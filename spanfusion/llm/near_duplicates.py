@@ -17,6 +17,8 @@ pairs between these weighed, in blocks.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +36,7 @@ BANDS, ROWS = 40, 4  # a pair at the similarity shares no band with a chance of
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 PARITY_BITS = 2048
-SLACK = 0.16  # over five standard deviations of a similarity of 0.85 told from the samples
+MISS = 1e-9  # bound of the chance that odd sketches rule out a pair at the similarity
 TURNS = 2
 BLOCK = 2048
 _FACTORS = (np.random.default_rng(17).integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -86,14 +88,23 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key
 
 
-def odds(differ: int | float) -> float:
-    """The similarity that ``differ`` unequal bits of two odd sketches tell."""
-    return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(max(1e-9, 1 - 2 * differ / SKETCH_BITS))
-
-
 def most_bits(similarity: float) -> int:
-    """Unequal bits above which two sketches rule out ``similarity``."""
-    return max((d for d in range(SKETCH_BITS // 2) if odds(d) >= similarity - SLACK), default=0)
+    """Unequal bits that two sketches of ``similarity`` pass with a chance below MISS.
+
+    Of SAMPLES samples each differs with chance ``1 - similarity``, and one
+    that differs flips a bit of either sketch: the chances of so many odd bits
+    after so many flips are carried from flip to flip.
+    """
+    odd = np.arange(SKETCH_BITS + 1)
+    state = (odd == 0).astype(np.float64)
+    total = np.zeros(SKETCH_BITS + 1)
+    for differ in range(SAMPLES + 1):
+        total += math.comb(SAMPLES, differ) * (1 - similarity) ** differ * similarity ** (SAMPLES - differ) * state
+        for _ in range(2):
+            up, down = state * (1 - odd / SKETCH_BITS), state * odd / SKETCH_BITS
+            state = np.append(0, up[:-1]) + np.append(down[1:], 0)
+    above = np.append(np.cumsum(total[::-1])[::-1][1:], 0)
+    return int(np.flatnonzero(above < MISS)[0])
 
 
 def cluster(documents: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:

@@ -252,6 +252,23 @@ def test_near_duplicates(spark, docs, none):
     assert near_duplicates.cluster(none).count() == 0
 
 
+@pytest.mark.parametrize("similarity", [0.7, 0.8, 0.85, 0.95])
+def test_odd_sketches_rule_out_no_pair_at_the_similarity(similarity):
+    bits, samples = near_duplicates.SKETCH_BITS, near_duplicates.SAMPLES
+    chances = {0: 1.0}  # of so many odd bits; each sample differs or not, and flips two bits if so
+    for _ in range(samples):
+        new = collections.defaultdict(float)
+        for k, c in chances.items():
+            new[k] += c * similarity
+            for step, q in ((1, 1 - k / bits), (-1, k / bits)):
+                m = k + step
+                new[m + 1] += c * (1 - similarity) * q * (1 - m / bits)
+                new[m - 1] += c * (1 - similarity) * q * m / bits
+        chances = new
+    most = near_duplicates.most_bits(similarity)
+    assert sum(c for k, c in chances.items() if k > most) < 1e-9 <= sum(c for k, c in chances.items() if k > most - 2)
+
+
 def test_toxicity(spark, docs, none):
     big, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(big, labels)
