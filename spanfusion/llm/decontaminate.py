@@ -8,6 +8,9 @@ place by place, which counts as an overlap if enough of the item is there.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,16 +67,23 @@ def seeds(w: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return out
 
 
-def index(items: list[tuple[int, str | None]]) -> dict:
-    """Seeds of the items, by mask; an item shorter than SPAN words is one seed of all its words."""
+def short_masks(n: int, share: float) -> list[tuple[int, ...]]:
+    """The places of an item of ``n`` words that are left by each choice of as many changed words as ``share`` allows."""
+    return list(combinations(range(n), max(1, math.ceil(share * n - 1e-9)))) if n else []
+
+
+def index(items: list[tuple[int, str | None]], share: float = MIN_SHARE) -> dict:
+    """Seeds of the items, by mask; an item shorter than SPAN words has a seed for each choice of changed words."""
     w, count = word_hashes([t for _, t in items])
     at = np.cumsum(count) - count
     words = [w[a : a + n] for a, n in zip(at, count, strict=True)]
     masks = {}
     for i, own in enumerate(words):
-        for mask in MASKS if len(own) >= SPAN else [tuple(range(len(own)))] * (len(own) > 0):
-            h = seeds(own, mask)
-            masks.setdefault(mask, []).append(np.stack([h, np.full(len(h), i, np.uint64), np.arange(len(h), dtype=np.uint64)]))
+        for mask in MASKS if len(own) >= SPAN else short_masks(len(own), share):
+            first = mask[0]
+            mask = tuple(m - first for m in mask)
+            h = seeds(own[first:], mask)[: None if len(own) >= SPAN else 1]
+            masks.setdefault(mask, []).append(np.stack([h, np.full(len(h), i, np.uint64), np.arange(first, first + len(h), dtype=np.uint64)]))
     tables = {}
     for mask, parts in masks.items():
         h, i, k = np.concatenate(parts, axis=1)
@@ -130,7 +140,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, share: float = MIN_SHAR
     in blocks of BLOCK_BYTES of text, each of which is one broadcast.
     """
     out = None
-    for shared in _blocks(documents, benchmark):
+    for shared in _blocks(documents, benchmark, share):
         found = _against(documents, shared, share, run)
         out = found if out is None else out.unionByName(found)
     return out
@@ -138,7 +148,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, share: float = MIN_SHAR
 
 def clean(documents: DataFrame, benchmark: DataFrame, share: float = MIN_SHARE, run: int = MIN_RUN, text: str = "text") -> DataFrame:
     """The rows of ``documents`` that overlap no item of the benchmark, with all columns."""
-    for shared in _blocks(documents, benchmark):
+    for shared in _blocks(documents, benchmark, share):
 
         def build(shared=shared):
             scan = Scanner(shared.value, share, run)
@@ -153,14 +163,14 @@ def clean(documents: DataFrame, benchmark: DataFrame, share: float = MIN_SHARE,
     return documents
 
 
-def _blocks(documents: DataFrame, benchmark: DataFrame) -> list:
+def _blocks(documents: DataFrame, benchmark: DataFrame, share: float) -> list:
     """Broadcasts of the benchmark's seeds, BLOCK_BYTES of text in each."""
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     blocks = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES
     out = []
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        out.append(documents.sparkSession.sparkContext.broadcast(index([(r[0], r[1]) for r in own])))
+        out.append(documents.sparkSession.sparkContext.broadcast(index([(r[0], r[1]) for r in own], share)))
     return out
 
 

@@ -356,6 +356,22 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.overlaps(none, bench).count() == 0 and decontaminate.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_short_items(spark):
+    items = [[f"item{n}word{k}" for k in range(n)] for n in range(1, 9)]
+    bench = spark.createDataFrame([(len(w), " ".join(w)) for w in items], "item_id long, text string")
+    rows, want = [], set()
+    for own in items:
+        for changed in [(), *((p,) for p in range(len(own))), *itertools.combinations(range(len(own)), 2)]:
+            w = ["changed" if p in changed else x for p, x in enumerate(own)]
+            for text in (" ".join(w), f"before it {' '.join(w)} after it"):
+                if len(own) - len(changed) >= 0.8 * len(own):
+                    want.add((len(rows), len(own)))
+                rows.append((len(rows), text))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(table, bench).collect()} == want
+    assert {r.doc_id for r in decontaminate.clean(table, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
 def test_pipeline(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
