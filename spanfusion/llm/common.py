@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE_ROWS = 512
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,24 +27,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the setting is missing, as in tests
-    on one machine.
+    Where the setting is missing, a folder of our own is set on one machine, as
+    in tests; on a cluster that is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
         known = sc._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spark-shared-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
     return found
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,15 +65,36 @@ def slices(batch: pa.RecordBatch, weight: int | None = None, rows: int = SLICE_R
         at += n
 
 
-def map_slices(df: DataFrame, build: Callable[[], Callable], schema: str | T.StructType, weight: int | None = None) -> DataFrame:
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What ``make`` gives, held by the worker process until it turns to another operator."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def returned(batches: Iterator[pa.RecordBatch], operator: str = "") -> Iterator[pa.RecordBatch]:
+    """``batches``, with what other operators keep let go before, and unused memory given back after them: the worker process lives on."""
+    for key in [k for k in _KEPT if k[0] != operator]:
+        del _KEPT[key]
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def map_slices(df: DataFrame, build: Callable[[], Callable], schema: str | T.StructType, weight: int | None = None, size: int = SLICE_BYTES) -> DataFrame:
     """Applies ``build()(*columns)`` to slices; columns come and go as Python lists or arrays."""
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(kind)
         work = build()
-        for batch in batches:
-            for part in slices(batch, weight):
+        for batch in returned(batches):
+            for part in slices(batch, weight, size=size):
                 got = work(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays(
                     [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(got, out, strict=True)], schema=out
@@ -78,15 +103,15 @@ def map_slices(df: DataFrame, build: Callable[[], Callable], schema: str | T.Str
     return df.mapInArrow(run, kind)
 
 
-def filter_slices(df: DataFrame, build: Callable[[], Callable], text: str) -> DataFrame:
+def filter_slices(df: DataFrame, build: Callable[[], Callable], text: str, size: int = SLICE_BYTES) -> DataFrame:
     """The rows of ``df`` for which ``build()(texts)`` is true, with all columns as they are."""
     kind = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
     place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = build()
-        for batch in batches:
-            for part in slices(batch, place):
+        for batch in returned(batches):
+            for part in slices(batch, place, size=size):
                 yield part.filter(pa.array(keep(part.column(place).to_pylist()), type=pa.bool_()))
 
     return df.mapInArrow(run, kind)
@@ -112,18 +137,20 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.join(F.broadcast(ids), key, "left_semi")
 
 
-def thinned(df: DataFrame, key: str, wanted: DataFrame, bits: int = 22) -> DataFrame:
-    """``df`` without most rows whose ``key`` is not in the one column of ``wanted``.
+def thinned(df: DataFrame, key: str, wanted: DataFrame, rest: bool = False) -> DataFrame:
+    """``df`` without most rows whose ``key`` is not in the one column of ``wanted``, or with ``rest`` those rows.
 
-    A bitmap of ``2**bits`` bits, whatever the input, is broadcast; a join on
-    the key must follow, as other keys can share a bit.
+    A bitmap of 16 bits a wanted key is broadcast, of 2**22 to 2**26 bits; a
+    join on the key must follow, as other keys can share a bit.
     """
     name = wanted.columns[0]
+    bits = min(26, max(22, math.ceil(math.log2(16 * wanted.count() + 1))))
     spot = F.pmod(F.xxhash64(F.col(name)), F.lit(1 << bits))
     maps = wanted.select(spot.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
     own = df.withColumn("_p", F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits))).withColumn("_at", F.bitmap_bit_position("_p"))
     byte = "cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int)"
-    found = own.join(F.broadcast(maps), F.bitmap_bucket_number("_p") == F.col("_slot")).where(F.expr(f"shiftright({byte}, cast(_at % 8 as int)) & 1 = 1"))
+    hit = F.expr(f"coalesce(shiftright({byte}, cast(_at % 8 as int)) & 1, 0) = {int(not rest)}")
+    found = own.join(F.broadcast(maps), F.bitmap_bucket_number("_p") == F.col("_slot"), "left" if rest else "inner").where(hit)
     return found.select(*(F.col(c) for c in df.columns))
 
 

@@ -34,12 +34,12 @@ _POWERS: list[np.ndarray] = []
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each lower-cased run of letters and digits, and the number of words of each text."""
     if not _ALNUM:
-        _ALNUM.append(np.fromiter((chr(c).isalnum() for c in range(0x30000)), dtype=bool, count=0x30000))
+        _ALNUM.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), dtype=bool, count=0x110000))
         with np.errstate(over="ignore"):
             _POWERS.append(np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64)))
     lower = [lower_in_place(t or "") for t in texts]
     c = codes("\n".join([*lower, ""]))
-    edge = np.flatnonzero(np.diff(_ALNUM[0][np.minimum(c, 0x2FFFF)].view(np.int8), prepend=0, append=0))
+    edge = np.flatnonzero(np.diff(_ALNUM[0][c].view(np.int8), prepend=0, append=0))
     begin, end = edge[::2], edge[1::2]
     base = np.concatenate(([0], np.cumsum([len(t) + 1 for t in lower])))
     count = np.diff(np.searchsorted(begin, base))

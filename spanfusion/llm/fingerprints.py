@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spanfusion.llm.common import codes, mix, slices, stored, utf8
+from spanfusion.llm.common import codes, mix, returned, slices, stored, utf8
 from spanfusion.llm.components import components
 
 SLOTS = 128
@@ -154,7 +154,7 @@ def fingerprint(documents: DataFrame) -> DataFrame:
             columns = ([rows[i][2] for i in own], [len(rows[i][3]) for i in own], digests, written(mine), written(changed), likeness(mine, changed), likeness(mine, following))
             return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(columns, out, strict=True)], schema=out)
 
-        for batch in batches:
+        for batch in returned(batches):
             for piece in slices(batch, 4, rows=2048):
                 s, f, _, i, t = (c.to_pylist() for c in piece.columns)
                 pending += zip(s, f, i, (x or "" for x in t), strict=True)
@@ -256,7 +256,7 @@ def _met(classes: DataFrame, most: int, parts: int) -> DataFrame:
 
     def send(batches):
         out = to_arrow_schema(sent_kind)
-        for batch in batches:
+        for batch in returned(batches):
             for piece in slices(batch, rows=4096):
                 ids = np.array(piece.column(0).to_pylist(), dtype=np.int64)
                 symbols = read(piece.column(1).to_pylist())

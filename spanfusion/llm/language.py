@@ -23,6 +23,8 @@ FEATURES = 1 << 16
 TRAIN_ROWS = 6000
 SWITCH_PENALTY = 14.0
 CHUNK_WORDS = 256
+SLICE = 2 << 20  # bytes of text labelled at once
+SCORED = 1 << 16  # words scored at once
 UND = "und"
 
 #: First code points of runs of scripts, and the script of each run (0: not told apart).
@@ -32,7 +34,7 @@ SCRIPT_STARTS = (
     (0x0F00, 18), (0x1000, 19), (0x10A0, 20), (0x1100, 21), (0x1200, 22), (0x1780, 23), (0x1800, 0), (0x1E00, 1), (0x1F00, 2),
     (0x2000, 0), (0x2C60, 1), (0x2C80, 0), (0x3040, 24), (0x3130, 21), (0x3190, 0), (0x3400, 25), (0xA000, 0), (0xAC00, 21),
     (0xD7B0, 0), (0xF900, 25), (0xFB00, 1), (0xFB1D, 5), (0xFB50, 6), (0xFE00, 0), (0xFF21, 1), (0xFF66, 24), (0xFFA0, 21),
-    (0xFFE0, 0), (0x20000, 25), (0x30000, 0),
+    (0xFFE0, 0), (0x20000, 25), (0x40000, 0),
 )
 N_SCRIPTS = 26
 
@@ -41,7 +43,7 @@ class Letters:
     """Letter and script of code points, and the words of joined texts."""
 
     def __init__(self) -> None:
-        self.alpha = np.fromiter((chr(c).isalpha() for c in range(0x30000)), dtype=bool, count=0x30000)
+        self.alpha = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
         self.starts = np.array([a for a, _ in SCRIPT_STARTS], dtype=np.int64)
         self.scripts = np.array([b for _, b in SCRIPT_STARTS], dtype=np.int8)
 
@@ -50,14 +52,15 @@ class Letters:
         lower = [lower_in_place(t or "") for t in texts]
         sizes = np.fromiter((len(t) + 1 for t in lower), dtype=np.int64, count=len(lower))
         c = codes("\n".join([*lower, ""]))
-        is_letter = self.alpha[np.minimum(c, 0x2FFFF)]
-        edge = np.flatnonzero(np.diff(is_letter.view(np.int8), prepend=0, append=0))
+        edge = np.flatnonzero(np.diff(self.alpha[c].view(np.int8), prepend=0, append=0))
         begin, end = edge[::2], edge[1::2]
         base = np.concatenate(([0], np.cumsum(sizes)))
         return c, begin, end, np.searchsorted(base, begin, side="right") - 1, base
 
     def trigrams(self, c: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A hashed trigram for each letter of the words (borders count as 0), and where each word's run starts."""
+        origin = int(begin[0]) if len(begin) else 0
+        c, begin, end = c[origin : int(end[-1])] if len(end) else c[:0], begin - origin, end - origin
         padded = np.zeros(len(c) + 2, dtype=np.uint32)
         size = end - begin
         run = np.concatenate(([0], np.cumsum(size)))
@@ -105,7 +108,7 @@ def train(documents: DataFrame, rows: int = TRAIN_ROWS) -> dict:
 
         return count
 
-    seen = map_slices(bounded_sample(known, "doc_id", rows).select("lang", "text"), build, "lang string, f int, n long", 1)
+    seen = map_slices(bounded_sample(known, "doc_id", rows).select("lang", "text"), build, "lang string, f int, n long", 1, SLICE)
     counts = seen.groupBy("lang", "f").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     n = np.zeros((FEATURES + N_SCRIPTS, max(1, len(langs))))
@@ -189,8 +192,10 @@ class Labeller:
         pred, score, spans = [UND] * n, [0.0] * n, [""] * n
         if not len(begin) or not langs:
             return pred, score, spans
-        h, run = letters.trigrams(c, begin, end)
-        s = np.add.reduceat(self.model["weights"][h], run, axis=0).astype(np.float64)
+        s = np.empty((len(begin), len(langs)))
+        for i in range(0, len(begin), SCORED):
+            h, run = letters.trigrams(c, begin[i : i + SCORED], end[i : i + SCORED])
+            s[i : i + SCORED] = np.add.reduceat(self.model["weights"][h], run, axis=0)
         s[~allowed[letters.script(c[begin])]] -= 1e4
         count = np.bincount(owner, minlength=n)
         path = viterbi(s, np.cumsum(count) - count, count, self.penalty)
@@ -225,11 +230,15 @@ def identify(documents: DataFrame, model: dict, penalty: float = SWITCH_PENALTY)
 
     held = bucket(F.col("doc_id"), 5) == 0
     kind = "doc_id long, held_out boolean, lang_pred string, score double, spans string"
-    return map_slices(documents.select("doc_id", held.alias("held_out"), "text"), build, kind, 2)
+    return map_slices(documents.select("doc_id", held.alias("held_out"), "text"), build, kind, 2, SLICE)
 
 
 def told(documents: DataFrame, model: dict, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``documents`` whose language is told: not ``und``, and with ``least`` of the letters."""
+    """The rows of ``documents`` whose language is told: not ``und``, and with ``least`` of the letters.
+
+    Missing texts and texts without a letter are not told. Repeated rows are
+    judged alike; all columns stay as they are.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def build():
@@ -241,4 +250,4 @@ def told(documents: DataFrame, model: dict, least: float = 0.5, text: str = "tex
 
         return keep
 
-    return filter_slices(documents, build, text)
+    return filter_slices(documents, build, text, SLICE)

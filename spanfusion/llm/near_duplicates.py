@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spanfusion.llm.common import mix, slices, stored, thinned
+from spanfusion.llm.common import mix, returned, slices, stored, thinned
 from spanfusion.llm.components import components
 from spanfusion.llm.substrings import windows, words
 
@@ -107,6 +107,33 @@ def most_bits(similarity: float) -> int:
     return int(np.flatnonzero(above < MISS)[0])
 
 
+def keep_first(documents: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of ``documents``, all columns, that come first of their group of near duplicates.
+
+    First is the smallest id, and the smallest hash of the text where several
+    texts have it; rows without an id come last. Rows are told apart by id and
+    text: of rows equal in both, one stays. A text without words, or a missing
+    one, is a group of its own with the equal rows of its id. Columns
+    whose names begin with ``_nd_`` would clash. Only rows that may go
+    are shuffled.
+    """
+    meta, named = _classes(documents, shingle, similarity)
+    id_, mark = F.coalesce("doc_id", F.lit(0)), F.xxhash64("text", F.col("doc_id").isNull())
+    own = meta.join(named, F.col("cls") == F.col("c"), "left").select(
+        F.coalesce("root", "cls").alias("group"), F.when(F.col("cls").isNull(), F.struct("doc_id", "mark")).alias("alone"), "doc_id", "mark"
+    )
+    first = own.groupBy("group", "alone").agg(F.min(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("mark").alias("m"))).alias("x"))
+    first = first.select(F.col("x.i").alias("i"), F.col("x.m").alias("m"))
+    each = meta.groupBy(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("mark").alias("m")).agg(F.count("*").alias("n"))
+    # Rows to look at: those that are not first, and those that are there more than once.
+    some = stored(each.join(first.withColumn("_nd_first", F.lit(True)), ["i", "m"], "left").where("_nd_first is null or n > 1").select(F.xxhash64("i", "m").alias("_nd_w"), F.col("m").alias("_nd_m"), "_nd_first"))
+    marked = documents.withColumns({"_nd_mark": mark, "_nd_key": F.xxhash64(id_, mark)})
+    sure = thinned(marked, "_nd_key", some.select("_nd_w"), rest=True)
+    open_ = thinned(marked, "_nd_key", some.select("_nd_w")).join(some, (F.col("_nd_key") == F.col("_nd_w")) & (F.col("_nd_mark") == F.col("_nd_m")), "left")
+    open_ = open_.where("_nd_w is null or _nd_first").dropDuplicates(["_nd_key", "_nd_mark"])
+    return sure.select(*documents.columns).unionByName(open_.select(*documents.columns))
+
+
 def cluster(documents: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and class_id of every document.
 
@@ -118,25 +145,33 @@ def cluster(documents: DataFrame, shingle: int = SHINGLE, similarity: int = SIMI
     in a component without ids. Repeated rows each give a row of one class.
     Other columns are ignored.
     """
+    meta, named = _classes(documents, shingle, similarity)
+    joined = meta.select("doc_id", "n_shingles", "cls").join(named, F.col("cls") == F.col("c"), "left")
+    component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("found"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("low").alias("class_id"))
+
+
+def _classes(documents: DataFrame, shingle: int, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """A row for each document (doc_id, mark, n_shingles, cls; ``mark`` hashes the text), and one for each class (c, low, found, root)."""
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    meta_kind = T.StructType.fromDDL("doc_id long, n_shingles long, cls long, sketch array<long>, bands binary")
+    meta_kind = T.StructType.fromDDL("doc_id long, mark long, n_shingles long, cls long, sketch array<long>, bands binary")
 
     def describe(batches):
         out = to_arrow_schema(meta_kind)
-        for batch in batches:
-            for part in slices(batch, 1):
-                found = shingle_sets(part.column(1).to_pylist(), shingle)
+        for batch in returned(batches):
+            for part in slices(batch, 2):
+                found = shingle_sets(part.column(2).to_pylist(), shingle)
                 full = [i for i, x in enumerate(found) if len(x)]
                 cls, sketch, bands = [None] * len(found), [None] * len(found), [None] * len(found)
                 if full:
                     c, samples, s = signature([found[i] for i in full])
                     for i, a, b, k in zip(full, c.tolist(), s.tolist(), band_keys(samples), strict=True):
                         cls[i], sketch[i], bands[i] = a, b, k.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, type=out.field(k + 1).type) for k, v in enumerate(([len(x) for x in found], cls, sketch, bands)))], schema=out)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(v, type=out.field(k + 2).type) for k, v in enumerate(([len(x) for x in found], cls, sketch, bands)))], schema=out)
 
-    meta = stored(docs.mapInArrow(describe, meta_kind))
+    meta = stored(docs.select("doc_id", F.xxhash64("text", F.col("doc_id").isNull()), "text").mapInArrow(describe, meta_kind))
     sets = meta.where(F.col("cls").isNotNull())
     classes = stored(sets.groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     members = stored(_bands(sets, n))
@@ -160,11 +195,9 @@ def cluster(documents: DataFrame, shingle: int = SHINGLE, similarity: int = SIMI
 
     rooted = sets.select("cls", "doc_id").join(roots, F.col("cls") == F.col("node"))
     lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("far"))
-    of_class = roots.join(lowest, "root").select(F.col("node").alias("cls"), "far")
-    named = classes.select("cls", "low").join(of_class, "cls", "left").select(F.col("cls").alias("c"), "low", F.coalesce("far", "low").alias("found"))
-    joined = meta.select("doc_id", "n_shingles", "cls").join(named, F.col("cls") == F.col("c"), "left")
-    component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("found"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("low").alias("class_id"))
+    of_class = roots.join(lowest, "root").select(F.col("node").alias("cls"), "far", "root")
+    named = classes.select("cls", "low").join(of_class, "cls", "left").select(F.col("cls").alias("c"), "low", F.coalesce("far", "low").alias("found"), "root")
+    return meta.select("doc_id", "mark", "n_shingles", "cls"), named
 
 
 def _bands(sets: DataFrame, n: int) -> DataFrame:
@@ -174,7 +207,7 @@ def _bands(sets: DataFrame, n: int) -> DataFrame:
 
     def send(batches):
         out = to_arrow_schema(sent_kind)
-        for batch in batches:
+        for batch in returned(batches):
             cls = np.array(batch.column(0).to_pylist(), dtype=np.int64)
             ids = np.array([(1 << 62) if x is None else x for x in batch.column(1).to_pylist()], dtype=np.int64)
             keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64)
@@ -229,7 +262,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: i
 
     def rebuild(batches):
         out = to_arrow_schema(kind)
-        for batch in batches:
+        for batch in returned(batches):
             for part in slices(batch, 0):
                 found = [x for x in shingle_sets(part.column(0).to_pylist(), shingle) if len(x)]
                 if found:

@@ -3,26 +3,36 @@
 Generators with high recall propose spans that may overlap: every run of
 digits and separators, obfuscated mail addresses, account numbers. Boosted
 trees score a candidate by its format and by the words around it; those above
-the calibrated threshold that touch no base span are added, best first.
+their kind's threshold that touch no base span are added, best first.
+
+The corpus says what personal data looks like only through its base spans. So
+positives are base spans written another way (other separators, no leading
+plus, spaced or spelled parts) in their real surroundings, and formats that no
+base pattern has, in the same surroundings; negatives are the corpus's other
+candidates, and numbers of no meaning in the same surroundings as well. Chances
+are calibrated, and the threshold of each kind set, on a third of the rows that
+the trees do not see.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanfusion.llm import boosting
-from spanfusion.llm.common import bounded_sample, map_slices, slices
+from spanfusion.llm.common import bounded_sample, map_slices, returned, slices, stored
 
 # Kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone", "iban", "id")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -38,8 +48,12 @@ CUES = {
     "id": ("ssn", "social security", "passport", "tax id", "ausweis"),
 }
 CONTEXT = 24
-TRAIN_ROWS = 4000
-THRESHOLD = 0.9
+TRAIN_ROWS = 4000  # documents that the trees learn from
+KIND_ROWS = 3000  # different vectors of a kind and label that the trees learn from
+CUE_WORDS = 400  # words around spans whose weights are learned
+PRECISION = 0.95  # of the rows held back, at each kind's threshold
+LEAST = 0.5  # no threshold is lower
+WORD = re.compile(r"[^\W\d_]{2,}")
 
 
 def luhn(digits: str) -> bool:
@@ -92,15 +106,21 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     return sorted(set(out))
 
 
-def features(text: str, start: int, kind: int, end: int) -> list[float]:
+def around(text: str, start: int, end: int) -> tuple[str, str]:
+    return text[max(0, start - CONTEXT) : start].lower(), text[end : end + CONTEXT].lower()
+
+
+def features(text: str, start: int, kind: int, end: int, cues: dict[str, float]) -> list[float]:
+    """Format and surroundings of a candidate; ``cues`` weighs words near it."""
     span = text[start:end]
     digits = "".join(ch for ch in span if "0" <= ch <= "9")
     groups = re.findall("[0-9]+", span)
-    before, after = text[max(0, start - CONTEXT) : start].lower(), text[end : end + CONTEXT].lower()
+    before, after = around(text, start, end)
     account = 0
     if kind == 4:
         plain = span.replace(" ", "")
         account = int("".join(str(int(ch, 36)) for ch in plain[4:] + plain[:4])) % 97 == 1
+    weights = [cues[w] for w in WORD.findall(before) + WORD.findall(after) if w in cues]
     return [
         float(kind), len(digits), len(span), span.count("-"), span.count("."), span.count(" "), span.count("("), span.count("/"),
         float(span.startswith("+")), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
@@ -108,89 +128,162 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
         float(before[-1:].isalnum() or after[:1].isalnum()), float(any(c in before for c in CUES["phone"])),
         float(any(c in before for c in CUES["card"])), float(any(c in before for c in CUES["id"])), float("@" in span),
         float(len(groups) == 3 and [*map(len, groups)] == [3, 3, 4]), float(len(groups) == 3 and len(groups[0]) in (2, 4) and len(groups[1]) <= 2),
+        max(weights, default=0.0), sum(weights),
     ]
 
 
-def formats(seed: int = 11, n: int = 60) -> tuple[list[list[float]], list[int]]:
-    """Features and labels of candidates in formats that a corpus may lack: written out from a seed, none taken from a person."""
-    r = random.Random(seed)
-    num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+class Formats:
+    """Spans that are personal data and spans that are not, written out from a seed; none is taken from a person."""
+
+    def __init__(self, seed: int) -> None:
+        self.r = random.Random(seed)
+
+    def num(self, k: int) -> str:
+        return "".join(self.r.choice("0123456789") for _ in range(k))
 
-    def card() -> str:
-        head = r.choice("3456") + num(14)
+    def card(self) -> str:
+        head = self.r.choice("3456") + self.num(14)
         return next(head + c for c in "0123456789" if luhn(head + c))
 
-    def account() -> str:
-        land, body = r.choice(("DE", "FR", "ES", "GB")), num(18)
+    def account(self) -> str:
+        land, body = self.r.choice(("DE", "FR", "ES", "GB")), self.num(18)
         check = 98 - int("".join(str(int(ch, 36)) for ch in body + land + "00")) % 97
         return f"{land}{check:02d}{body}"
 
-    def wrong(text: str) -> str:
-        return text[:-1] + str((int(text[-1]) + r.randint(1, 9)) % 10)
-
-    def split(text: str, sep: str) -> str:
-        return sep.join(text[i : i + 4] for i in range(0, len(text), 4))
-
-    yes = [
-        lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"1-{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}",
-        lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"tel {num(3)} {num(3)} {num(4)}", lambda: f"call 0{num(3)}/{num(7)}",
-        lambda: split(card(), r.choice(".")), lambda: split(card(), "/"), account, lambda: split(account(), " "),
-        lambda: f"ssn {num(3)}-{num(2)}-{num(4)}", lambda: f"user{num(2)} (at) mail{num(1)}.example.com", lambda: f"ab{num(2)} [at] example [dot] org",
-    ]
-    no = [
-        lambda: f"20{num(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{r.randint(10, 28)}.{r.randint(10, 12)}.20{num(2)}", lambda: num(r.randint(7, 12)),
-        lambda: wrong(card()), lambda: split(wrong(card()), " "), lambda: f"{num(3)} {num(3)} {num(3)}", lambda: f"{num(1)}.{num(3)}.{num(3)}.{num(3)}",
-        lambda: f"20{num(2)}-20{num(2)}", lambda: f"{r.randint(10, 23)}.{num(2)}-{r.randint(10, 23)}.{num(2)}", lambda: wrong(account()), lambda: num(r.randint(20, 30)),
-        lambda: f"{num(4)} {num(3)}", lambda: f"{num(1)}.{num(2)}.{num(4)}",
-    ]
-    x, y = [], []
-    for label, makers in ((1, yes), (0, no)):
-        for make in makers:
-            for _ in range(n):
-                text = f"and with {make()} the end"
-                for s, k, e in candidates(text):
-                    x.append(features(text, s, k, e))
-                    y.append(label)
-    return x, y
+    def wrong(self, text: str) -> str:
+        return text[:-1] + str((int(text[-1]) + self.r.randint(1, 9)) % 10)
+
+    def split(self, text: str, by: str) -> str:
+        return by.join(text[i : i + 4] for i in range(0, len(text), 4))
+
+    def personal(self) -> str:
+        num = self.num
+        return self.r.choice((
+            lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"1-{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}",
+            lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"tel {num(3)} {num(3)} {num(4)}", lambda: f"call 0{num(3)}/{num(7)}",
+            lambda: self.split(self.card(), "."), lambda: self.split(self.card(), "/"), self.account, lambda: self.split(self.account(), " "),
+            lambda: f"ssn {num(3)}-{num(2)}-{num(4)}", lambda: f"user{num(2)} (at) mail{num(1)}.example.com", lambda: f"ab{num(2)} [at] example [dot] org",
+        ))()
+
+    def other(self) -> str:
+        num, day = self.num, self.r.randint
+        return self.r.choice((
+            lambda: f"20{num(2)}-{day(10, 12)}-{day(10, 28)}", lambda: f"{day(10, 28)}.{day(10, 12)}.20{num(2)}", lambda: num(day(7, 12)),
+            lambda: self.wrong(self.card()), lambda: self.split(self.wrong(self.card()), " "), lambda: f"{num(3)} {num(3)} {num(3)}", lambda: f"{num(1)}.{num(3)}.{num(3)}.{num(3)}",
+            lambda: f"20{num(2)}-20{num(2)}", lambda: f"{day(10, 23)}.{num(2)}-{day(10, 23)}.{num(2)}", lambda: self.wrong(self.account()), lambda: num(day(20, 30)),
+            lambda: f"{num(4)} {num(3)}", lambda: f"{num(1)}.{num(2)}.{num(4)}",
+        ))()
+
+    def variant(self, span: str, kind: int) -> str | None:
+        """A base span written another way, such that the base patterns may miss it."""
+        by = self.r.choice
+        if kind == 0:
+            name, host = span.split("@", 1)
+            return name + by((" (at) ", " [at] ", "(at)", " @ ")) + host.replace(".", by((".", " (dot) ", " [dot] ")))
+        digits = "".join(ch for ch in span if ch.isdigit())
+        if kind == 2:
+            return self.split(digits, by((".", "/", "  ", "- ")))
+        if kind == 3:
+            cut = len(digits) - 7
+            return by(("{} {} {}", "{}-{}-{}", "{}.{}.{}", "({}) {}-{}", "{}/{}{}")).format(digits[:cut], digits[cut : cut + 3], digits[cut + 3 :])
+        return None
+
+
+def examples(text: str, made: Formats) -> Iterator[tuple[str, int, int, int, int]]:
+    """(text, start, kind, end, label) to learn from: a document's own candidates, and others put in place of its base spans."""
+    base = base_spans(text)
+    for s, k, e in candidates(text):
+        if not any(a < e and s < b for a, _, b in base):
+            yield text, s, k, e, 0
+    for a, kind, b in base:
+        before, after = text[max(0, a - 2 * CONTEXT) : a], text[b : b + 2 * CONTEXT]
+        for span, label in ((made.variant(text[a:b], kind), 1), (made.personal(), 1), (made.other(), 0), (made.other(), 0)):
+            if span is None:
+                continue
+            whole, end = f"{before}{span}{after}", len(before) + len(span)
+            for s, k, e in candidates(whole):
+                shared = min(e, end) - max(s, len(before))
+                if shared > 0 and 5 * shared >= 4 * max(e - s, len(span) - 5):
+                    yield whole, s, k, e, label
+
+
+def train(documents: DataFrame, rows: int = TRAIN_ROWS, per_kind: int = KIND_ROWS, words: int = CUE_WORDS) -> dict:
+    """Trees, weights of ``words`` words near spans, and a threshold for each kind.
+
+    Learns from at most ``rows`` documents with digits or ``@``, chosen by the
+    hash of the id, and from at most ``per_kind`` different vectors of each
+    kind and label, chosen by their hash and weighed by their counts. The
+    lowest threshold is taken at which PRECISION of what is chosen among the
+    rows held back is personal data.
+    """
+    sample = stored(bounded_sample(documents.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")), "doc_id", rows).select("text"))
+    spark = documents.sparkSession
 
+    def counting():
+        def count(texts):
+            n: dict[str, list[int]] = {}
+            for text in texts:
+                for whole, s, _, e, y in examples(text, Formats(zlib.crc32(text.encode("utf-8", "surrogatepass")))):
+                    if whole is text or y:
+                        for w in {*WORD.findall(" ".join(around(whole, s, e)))}:
+                            n.setdefault(w, [0, 0])[y] += 1
+            return list(n), [x[1] for x in n.values()], [x[0] for x in n.values()]
 
-def train(documents: DataFrame, rows: int = TRAIN_ROWS) -> dict:
-    """Trees from the candidates of at most ``rows`` documents, chosen by the hash of the id, and of written-out formats.
+        return count
 
-    A corpus candidate counts as personal data if it lies on a base span.
-    """
+    seen = map_slices(sample, counting, "word string, pos long, neg long", 0).groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    cues = {r["word"]: math.log((r["pos"] + 1) / (r["neg"] + 1)) for r in seen.orderBy(F.desc(F.col("pos") + F.col("neg")), "word").limit(words).collect()}
+    shared = spark.sparkContext.broadcast(cues)
 
-    def build():
+    def labelling():
         def label(texts):
             out = ([], [])
             for text in texts:
-                known = base_spans(text)
-                for s, k, e in candidates(text):
-                    out[0].append(features(text, s, k, e))
-                    out[1].append(int(any(a < e and s < b for a, _, b in known)))
+                for whole, s, k, e, y in examples(text, Formats(zlib.crc32(text.encode("utf-8", "surrogatepass")))):
+                    out[0].append(features(whole, s, k, e, shared.value))
+                    out[1].append(y)
             return out
 
         return label
 
-    sample = bounded_sample(documents.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")), "doc_id", rows)
-    seen = map_slices(sample.select("text"), build, "x array<double>, y int", 0)
-    found = seen.groupBy("x", "y").count().orderBy("x", "y").limit(20_000).toPandas()
-    x, y = formats()
-    x += [list(v) for v in found["x"]]
-    y += found["y"].tolist()
-    return boosting.fit(np.array(x, dtype=float), np.array(y))
-
-
-def all_spans(text: str, model: dict, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    each = map_slices(sample, labelling, "x array<double>, y int", 0).groupBy("x", "y").count()
+    order = Window.partitionBy(F.col("x")[0], "y").orderBy(F.xxhash64("x"), "x")
+    found = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_kind).orderBy("y", F.xxhash64("x"), "x").toPandas()
+    x, y, weight = [list(v) for v in found["x"]], found["y"].tolist(), found["count"].tolist()
+    made = Formats(11)
+    for _ in range(600):  # formats in plain surroundings, so that a corpus without personal data gives a model too
+        for span, label in ((made.personal(), 1), (made.other(), 0)):
+            text = f"and with {span} the end"
+            for s, k, e in candidates(text):
+                x.append(features(text, s, k, e, cues))
+                y.append(label)
+                weight.append(1)
+    x, y, weight = np.array(x, dtype=float), np.array(y), np.array(weight, dtype=float)
+    model = boosting.fit(x, y, np.minimum(weight, 20.0))
+    held = model.pop("held")
+    chance = boosting.probability(model, x[held]) if len(held) else np.zeros(0)
+    limits = [limit(chance[x[held, 0] == k], y[held][x[held, 0] == k], weight[held][x[held, 0] == k]) for k in range(len(KINDS))]
+    return {**model, "cues": cues, "limits": limits}
+
+
+def limit(chance: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The lowest chance from which on PRECISION of the rows have label 1; 1 (nothing is chosen) without any."""
+    order = np.argsort(-chance, kind="stable")
+    right = np.cumsum((weight * y)[order]) / np.maximum(np.cumsum(weight[order]), 1e-9)
+    good = np.flatnonzero((right >= PRECISION) & (np.append(np.diff(chance[order]), -1) < 0))
+    return max(LEAST, float(chance[order][good[-1]])) if len(good) else 1.0
+
+
+def all_spans(text: str, model: dict) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans, and these with the accepted candidates."""
     base = base_spans(text)
     free = [c for c in candidates(text) if not any(a < c[2] and c[0] < b for a, _, b in base)]
     if not free:
         return base, base
-    chance = boosting.probability(model, np.array([features(text, *c) for c in free]))
+    chance = boosting.probability(model, np.array([features(text, *c, model["cues"]) for c in free]))
     more = list(base)
     for p, c in sorted(zip(-chance, free, strict=True)):
-        if -p >= threshold and not any(a < c[2] and c[0] < b for a, _, b in more):
+        if -p >= model["limits"][c[1]] and not any(a < c[2] and c[0] < b for a, _, b in more):
             more.append(c)
     return base, sorted(more)
 
@@ -199,7 +292,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def find(documents: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+def find(documents: DataFrame, model: dict) -> DataFrame:
     """Counts and digest of the base spans and all spans of every whole text.
 
     A missing or empty text has no spans. Spans of one start are in the order
@@ -211,7 +304,7 @@ def find(documents: DataFrame, model: dict, threshold: float = THRESHOLD) -> Dat
         def scan(ids, texts):
             counts, digests, spans = ([], [], [], []), [], []
             for text in texts:
-                base, every = all_spans(text or "", shared.value, threshold)
+                base, every = all_spans(text or "", shared.value)
                 for k in range(4):
                     counts[k].append(sum(x[1] == k for x in base))
                 digests.append(hashlib.sha256(written(base).encode()).hexdigest())
@@ -224,7 +317,7 @@ def find(documents: DataFrame, model: dict, threshold: float = THRESHOLD) -> Dat
     return map_slices(documents.select("doc_id", "text"), build, kind, 1)
 
 
-def redact(documents: DataFrame, model: dict, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def redact(documents: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """``documents`` with every span of ``text`` replaced by its kind in brackets; a missing text stays missing."""
     import pyarrow as pa
     from pyspark.sql import types as T
@@ -233,12 +326,12 @@ def redact(documents: DataFrame, model: dict, text: str = "text", threshold: flo
     place = documents.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in returned(batches):
             for part in slices(batch, place):
                 done = []
                 for t in part.column(place).to_pylist():
                     out, last = [], 0
-                    for s, k, e in all_spans(t, shared.value, threshold)[1] if t else ():
+                    for s, k, e in all_spans(t, shared.value)[1] if t else ():
                         if e > last:
                             out += [t[last : max(s, last)], f"[{KINDS[k].upper()}]"]
                             last = e

@@ -12,9 +12,7 @@ from spanfusion.llm.common import table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = sentencepiece_scan.load()
-    ids = sentencepiece_scan.encode(table(spark, sf_dir, "documents"), model)
-    texts = sentencepiece_scan.decode(ids, model)
+    texts = sentencepiece_scan.encode(table(spark, sf_dir, "documents"), decoded=True)
     same = F.sha2(F.col("text").cast("binary"), 256) == F.col("text_sha256")
     return texts.select("doc_id", "n_chars", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.coalesce(same, F.col("text").isNull()).alias("round_trip"))
 

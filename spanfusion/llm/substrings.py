@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spanfusion.llm.common import mix, slices, utf8
+from spanfusion.llm.common import mix, returned, slices, utf8
 from spanfusion.llm.sketches import GATHER, dealt, gathered, maybe_repeated, pack_places, repeated_cells, rows_table, unpack, unpack_places, width_bits
 
 WIDTH = 13
@@ -129,7 +129,7 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def estimate(batches):
         found, size = [], 0
-        for batch in batches:
+        for batch in returned(batches):
             for piece in slices(batch, 2):
                 ids = np.array(piece.column(0).to_pylist(), dtype=np.int64)
                 marks = np.array(piece.column(1).to_pylist(), dtype=np.int64)
@@ -170,7 +170,7 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def finish(batches):
         out = to_arrow_schema(result)
-        for batch in batches:
+        for batch in returned(batches):
             for piece in slices(batch, 1):
                 raw, begin, end, h, at = words(piece.column(1).to_pylist())
                 gone = np.zeros(len(begin) + 1, dtype=np.int64)

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanfusion.llm.bytestrings import Joined
-from spanfusion.llm.common import slices, stored, thinned
+from spanfusion.llm.common import returned, slices, stored, thinned
 from spanfusion.llm.sketches import GATHER, dealt, gathered, maybe_repeated, pack_places, repeated_cells, rows_table, unpack, unpack_places, width_bits
 
 WIDTH = 400
@@ -103,7 +103,7 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                 if len(rest):
                     yield _row([k, *pack_places(d[rest], m[rest], a[rest]), None, None, None, None], out)
 
-        for batch in batches:
+        for batch in returned(batches):
             for piece in slices(batch, 2, size=PIECE):
                 keys, marks, texts = _arrays(piece)
                 text = Joined(texts)
@@ -176,7 +176,7 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                 if len(rest):
                     yield _row([k, *pack_places(d[rest], m[rest], s[rest]), None, None, None], out)
 
-        for batch in batches:
+        for batch in returned(batches):
             for piece in slices(batch, 2, size=PIECE):
                 keys, marks, texts = _arrays(piece)
                 text = Joined(texts)
@@ -220,7 +220,7 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def finish(batches):
         out = to_arrow_schema(result)
-        for batch in batches:
+        for batch in returned(batches):
             for piece in slices(batch, 1):
                 text = Joined(piece.column(1).to_pylist())
                 edge = np.zeros(len(text.raw) + 1, dtype=np.int32)

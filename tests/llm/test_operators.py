@@ -320,6 +320,40 @@ def test_pii_base_and_more(spark, docs, none):
     assert pii.find(none, pii.train(none)).count() == 0
 
 
+def test_pii_base_against_plain_patterns():
+    kinds = (
+        (1, re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda t: all(int(p) <= 255 for p in t.split("."))),
+        (2, re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda t: 14 <= len(d := re.sub("[^0-9]", "", t)) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0),
+        (3, re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda t: 10 <= len(re.sub("[^0-9]", "", t)) <= 15),
+    )
+    pieces = ["1", "25", "255", "256", ".", ".", " ", "-", "+", "(", ")", "4111111111111111", "4111 1111", "x", "00", "7" * 5, "é", "10.0.0.1"]
+    seen = collections.Counter()
+    for _ in range(6000):
+        text = "".join(R.choice(pieces) for _ in range(R.randint(1, 12)))
+        got = pii.base_spans(text)
+        for kind, pattern, ok in kinds:
+            want = [m.span() for m in pattern.finditer(text) if ok(m[0])]
+            assert [(s, e) for s, k, e in got if k == kind] == want, text
+            seen[kind] += len(want)
+    assert min(seen[k] for k in (1, 2, 3)) > 100
+
+
+def test_pii_finds_base_spans_written_another_way(spark):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, made = pii.train(big), pii.Formats(77)
+    hit = total = false = others = 0
+    for row in big.select("text").where("text is not null").collect():
+        for a, k, b in pii.base_spans(row.text):
+            before, after = row.text[max(0, a - 60) : a], row.text[b : b + 60]
+            for span, label in ((made.variant(row.text[a:b], k), 1), (made.other(), 0)):
+                if span is not None:
+                    s, e = len(before), len(before) + len(span)
+                    base, every = pii.all_spans(f"{before}{span}{after}", model)
+                    found = any(2 * (min(e, y) - max(s, x)) >= e - s for x, _, y in (every if label else set(every) - set(base)))
+                    hit, total, false, others = hit + found * label, total + label, false + found * (1 - label), others + 1 - label
+    assert total > 40 and hit >= 0.9 * total and false <= 0.1 * others
+
+
 def test_secrets(spark, docs, none):
     found = secrets.keywords()
     assign = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -383,3 +417,19 @@ def test_pipeline(spark):
     assert {r.doc_id for r in unique.collect()} == {i for i, _, c in brute_components(rows, 5, 80) if i == c}
     done = corpus_pipeline.run(spark, folder).collect()
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in done) and {r.doc_id for r in done} <= {r.doc_id for r in unique.collect()}
+
+
+def test_pipeline_near_duplicates_by_row(spark, none):
+    a, b = prose(60), prose(60)
+    rows = [(1, a), (7, a), (7, b), (3, b + " more"), (3, b + " more"), (9, None), (9, None), (10, ""), (None, a), (None, prose(70))]
+    table = spark.createDataFrame([(i, t, None, "s", k) for k, (i, t) in enumerate(rows)], KIND).withColumnRenamed("lang", "cls")
+    got = corpus_pipeline.drop_near_duplicates(spark, table, "")
+    assert got.columns == table.columns
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([(1, a), (3, b + " more"), (9, None), (10, ""), (None, rows[-1][1])])
+    assert corpus_pipeline.drop_near_duplicates(spark, none, "").count() == 0
+
+
+def test_letters_of_all_planes(spark):
+    table = spark.createDataFrame([(1, chr(0x30000) * 5), (2, "\U000e0001 12")], "doc_id long, text string")
+    model = language.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert {r.doc_id: r.lang_pred != "und" for r in language.identify(table, model).collect()} == {1: True, 2: False}
