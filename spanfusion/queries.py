@@ -126,10 +126,12 @@ def high_confidence_hits(spark, sf_dir):
 
 
 def align_documents(spark, sf_dir):
+    """Markdown of each document with the places of its scanned lines, and the share that these cover."""
     return process(_chunks(spark, sf_dir), _anchors(spark, sf_dir))
 
 
 def align_spans(spark, sf_dir):
+    """Where the scanned lines of each document stand in its Markdown."""
     return alignment.align(markdown.assemble(markdown.renumber_markers(_chunks(spark, sf_dir))), _anchors(spark, sf_dir))
 
 
@@ -145,7 +147,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interval_union, interval_intersect, interval_subtract, interval_predicates, normalize_text, renumber_markers, assemble_markdown, parse_segments,
-        annotate_lines, strip_lines, validation_map, span_coverage, sniff_files, high_confidence_hits, resolve_quotes,
+        annotate_lines, strip_lines, validation_map, span_coverage, sniff_files, high_confidence_hits, align_spans, align_documents, resolve_quotes,
     )
 }
 
