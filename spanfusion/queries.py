@@ -9,9 +9,9 @@ from spanfusion.functions.text import normal_text
 from spanfusion.operators import align as alignment
 from spanfusion.operators import intervals, markdown, resolve, spans
 from spanfusion.plans.process import process
-from spanfusion.sources.files import mime_of_content
+from spanfusion.sources.files import chunks, mime_of_content
 
-PER_PAGE = 10
+STRETCH = 4096
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,14 +67,17 @@ def interval_subtract(spark, sf_dir):
 
 def interval_predicates(spark, sf_dir):
     """Counts, for each user, of pairs of an even and an odd range that hold each predicate."""
-    a = _ranges(spark, sf_dir, 0)
-    b = _ranges(spark, sf_dir, 1).select("user_id", F.col("s").alias("s2"), F.col("e").alias("e2"))
-    held = a.join(b, "user_id").groupBy("user_id").agg(
+    a, b = _ranges(spark, sf_dir, 0), _ranges(spark, sf_dir, 1).select("user_id", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    # Each predicate needs an overlap, so ranges meet by the stretches of the axis that they touch, each pair in the first that both do.
+    at = lambda s, e: F.explode(F.sequence(F.expr(f"floor({s} / {STRETCH})"), F.expr(f"floor(({e} - 1) / {STRETCH})"))).alias("at")
+    met = a.select("*", at("s", "e")).join(b.select("*", at("s2", "e2")), ["user_id", "at"]).where(F.col("at") == F.expr(f"floor(greatest(s, s2) / {STRETCH})"))
+    held = met.groupBy("user_id").agg(
         F.count_if(intervals.overlaps(F.col("s"), F.col("e"), F.col("s2"), F.col("e2"))).alias("n_overlaps"),
         F.count_if(intervals.contained(F.col("s"), F.col("e"), F.col("s2"), F.col("e2"))).alias("n_contained"),
         F.count_if(intervals.in_range(F.col("s"), F.col("s2"), F.col("e2"))).alias("n_in_range"),
     )
-    return held
+    both = a.select("user_id").distinct().join(b.select("user_id").distinct(), "user_id")
+    return both.join(held, "user_id", "left").na.fill(0)
 
 
 def normalize_text(spark, sf_dir):
@@ -119,6 +122,16 @@ def sniff_files(spark, sf_dir):
     return made.select("doc_id", mime_of_content(F.col("content")).alias("mime_type"), F.sha2("content", 256).alias("document_sha256"))
 
 
+def file_chunks(spark, sf_dir):
+    """Chunks of files made up of each document: images and PDF files, of 512 bytes a page and three pages a chunk, named with and without extension."""
+    k = F.col("doc_id") % 4
+    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, ("", ".PDF", ".bmp", ".png"))), (k + 1).cast("int")))
+    body = F.when(k == 0, F.concat(F.unhex(F.lit("255044462D")), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary"))
+    made = _read(spark, sf_dir, "documents").where("text is not null and text <> ''").select(name.alias("path"), body.alias("content"))
+    found = chunks(made, 3, lambda c: -(-len(c) // 512), lambda c, s, e: c[512 * s : 512 * e])
+    return found.select("path", "document_sha256", "chunk_idx", "start_page", "end_page", F.sha2("data", 256).alias("data_sha256"), "mime_type")
+
+
 def high_confidence_hits(spark, sf_dir):
     e = _read(spark, sf_dir, "events").where(F.col("value").isNotNull())
     hits = e.select(F.col("user_id").alias("anchor_id"), F.col("event_type").alias("frag"), F.col("event_id").alias("hit"), F.col("value").alias("score"))
@@ -147,7 +160,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interval_union, interval_intersect, interval_subtract, interval_predicates, normalize_text, renumber_markers, assemble_markdown, parse_segments,
-        annotate_lines, strip_lines, validation_map, span_coverage, sniff_files, high_confidence_hits, align_spans, align_documents, resolve_quotes,
+        annotate_lines, strip_lines, validation_map, span_coverage, sniff_files, file_chunks, high_confidence_hits, align_spans, align_documents, resolve_quotes,
     )
 }
 
@@ -202,6 +215,16 @@ FROM documents d LEFT JOIN lines USING (doc_id) GROUP BY d.doc_id""",
   SELECT doc_id, unhex(CASE doc_id % 5 WHEN 0 THEN '255044462D' WHEN 1 THEN '89504E470D0A1A0A00' WHEN 2 THEN 'FFD8FFE0' WHEN 3 THEN '524946460000000057454250' ELSE '00' END) || encode(text) AS content FROM documents)
 SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'image/webp' END AS mime_type, sha256(content) AS document_sha256
 FROM made""",
+    "file_chunks": """WITH made AS (
+  SELECT doc_id % 4 AS k, 'f' || doc_id || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '.PDF' WHEN 2 THEN '.bmp' ELSE '.png' END AS path,
+    CASE doc_id % 4 WHEN 0 THEN '255044462D' ELSE '' END || hex(encode(text)) AS x
+  FROM documents WHERE text IS NOT NULL AND text <> ''),
+sized AS (SELECT *, CASE WHEN k < 2 THEN (len(x) // 2 + 511) // 512 ELSE 1 END AS n FROM made),
+parts AS (SELECT *, unnest(range(0, n, 3)) AS s FROM sized)
+SELECT path, sha256(unhex(x)) AS document_sha256, CAST(s // 3 AS INTEGER) AS chunk_idx, CAST(s AS INTEGER) AS start_page, CAST(least(s + 3, n) AS INTEGER) AS end_page,
+  sha256(unhex(CASE WHEN k < 2 THEN substr(x, 1024 * s + 1, 1024 * (least(s + 3, n) - s)) ELSE x END)) AS data_sha256,
+  CASE WHEN k < 2 THEN 'application/pdf' WHEN k = 2 THEN 'image/bmp' ELSE 'image/png' END AS mime_type
+FROM parts""",
     "high_confidence_hits": """WITH ranked AS (
   SELECT user_id AS anchor_id, event_type AS frag, event_id AS hit, value AS score, row_number() OVER w AS place, lead(value) OVER w AS second
   FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY value DESC, event_type, event_id))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import mimetypes
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Kinds by extension, which win over those by content.
-BY_EXTENSION = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "gif": "image/gif", "tif": "image/tiff", "tiff": "image/tiff"}
+#: Kinds by extension, which win over those by content.
+BY_EXTENSION = {ext[1:].lower(): kind for ext, kind in mimetypes.MimeTypes().types_map[True].items()}
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -18,7 +19,10 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_bytes(spark: SparkSession, items: list[tuple[str, bytes]]) -> DataFrame:
-    """(path, content) of contents at hand, or of open files."""
+    """(path, content) of contents at hand, or of open files; anything else raises an error."""
+    for name, x in items:
+        if not isinstance(x, bytes | bytearray) and not hasattr(x, "read"):
+            raise ValueError(f"Unsupported content of {name}: {type(x).__name__}")
     rows = [(name, bytearray(x.read() if hasattr(x, "read") else x)) for name, x in items]
     return spark.createDataFrame(rows, "path string, content binary")
 
@@ -40,29 +44,32 @@ def mime_of_content(content: Column) -> Column:
     )
 
 
-def chunks(files: DataFrame, pages_per_chunk: int | None = None, count: Callable[[bytes], int] | None = None, cut: Callable[[bytes, int, int], bytes] | None = None) -> DataFrame:
+def chunks(files: DataFrame, pages_per_chunk: int | None = None, count: Callable[[bytes], int] | None = None, cut: Callable[[bytes, int, int], bytes] | None = None, mime_type: str | None = None) -> DataFrame:
     """(path, document_sha256, chunk_idx, start_page, end_page, data, mime_type) of (path, content).
 
     An image is one chunk of one page. A PDF is one chunk of its own bytes, or
     with ``pages_per_chunk`` one for each run of pages; ``count`` tells a
     file's pages and ``cut`` writes some of them as a file, with whatever PDF
-    library there is. Anything else raises an error.
+    library there is. Without ``count`` the pages of a PDF are not known and
+    its ``end_page`` is missing. The kind is ``mime_type`` if that is given,
+    else that of the path's extension, else that of the content. Anything but
+    a PDF or an image raises an error, as does a missing content.
     """
-    mime = F.coalesce(mime_of_path(F.col("path")), mime_of_content(F.col("content")))
+    mime = F.lit(mime_type) if mime_type else F.coalesce(mime_of_path(F.col("path")), mime_of_content(F.col("content")))
     known = files.withColumn("mime", mime).withColumn("sha", F.sha2("content", 256))
     image = F.col("mime").startswith("image/")
     bad = F.raise_error(F.concat(F.lit("Unsupported kind of document: "), F.coalesce("mime", F.lit("unknown")), F.lit(" in "), F.col("path"))).cast("string")
-    checked = known.withColumn("mime", F.when(image | (F.col("mime") == "application/pdf"), F.col("mime")).otherwise(bad))
+    checked = known.withColumn("mime", F.when((image | (F.col("mime") == "application/pdf")) & F.col("content").isNotNull(), F.col("mime")).otherwise(bad))
     if count is None:
         if pages_per_chunk is not None:
             raise ValueError("cutting PDF files needs count and cut")
-        pages = F.lit(1)
+        pages = F.when(image, 1)
     else:
         pages = F.when(image, 1).otherwise(F.pandas_udf(lambda c: pd.Series([count(bytes(x)) for x in c]), "int")("content"))
     sized = checked.withColumn("n", pages)
     step = F.col("n") if pages_per_chunk is None else F.lit(pages_per_chunk)
-    spread = sized.withColumn("start_page", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.greatest(step, F.lit(1)))))
-    spread = spread.withColumn("end_page", F.least(F.col("start_page") + step, F.col("n")).cast("int"))
+    spread = sized.withColumn("start_page", F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce("n", F.lit(1)) - 1, F.lit(0)), F.greatest(step, F.lit(1)))))
+    spread = spread.withColumn("end_page", F.when(F.col("n").isNotNull(), F.least(F.col("start_page") + step, F.col("n"))).cast("int"))
     data = F.col("content")
     if pages_per_chunk is not None:
         part = F.pandas_udf(lambda c, s, e: pd.Series([cut(bytes(x), int(a), int(b)) for x, a, b in zip(c, s, e, strict=True)]), "binary")
