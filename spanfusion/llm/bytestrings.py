@@ -7,27 +7,37 @@ import numpy as np
 from spanfusion.llm.common import mix, utf8
 
 _RANDOM = np.random.default_rng(5).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BASES = (0x9E3779B97F4A7C15, 1_103_515_245)
+_PRIME = (1 << 31) - 1
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2**64, ``n`` at least."""
+    """Powers of a base and of its inverse, ``n`` at least: modulo 2**64 for seed 0, modulo _PRIME for seed 1."""
     got = _TABLES.get(seed)
     if got is None or len(got[0]) < n:
-        size = max(n, 1 << 21)
-        base = _BASES[seed]
-        with np.errstate(over="ignore"):
-            pair = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, b, np.uint64)))) for b in (base, pow(base, -1, 1 << 64))]
-        got = _TABLES[seed] = (pair[0], pair[1])
+        size = max(n, 1 << 20)
+        base, modulus = _BASES[seed], (1 << 64, _PRIME)[seed]
+        got = _TABLES[seed] = (_run(base, size, modulus), _run(pow(base, -1, modulus), size, modulus))
     return got
 
 
+def _run(base: int, n: int, modulus: int) -> np.ndarray:
+    """1, base, base squared and so on; by doubling."""
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) <= n:
+        with np.errstate(over="ignore"):
+            more = out * np.uint64(pow(base, len(out), modulus))
+        out = np.concatenate((out, more if modulus >> 64 else more % np.uint64(modulus)))
+    return out
+
+
 class Joined:
     """Texts as one run of bytes, with prefix polynomial hashes.
 
-    The hash of any stretch comes from two prefixes; ``seed`` 0 and 1 give
-    hashes of different polynomials.
+    The hash of any stretch comes from two prefixes. Seed 0 gives 64 bits of a
+    polynomial modulo 2**64, for which unlike strings of one hash can be made
+    up; seed 1 gives 31 bits of one modulo a prime, which tells these apart.
     """
 
     def __init__(self, texts: list[str | None]) -> None:
@@ -36,15 +46,25 @@ class Joined:
         self.at = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
         self.prefix: dict[int, np.ndarray] = {}
 
-    def hashes(self, left: np.ndarray, right: np.ndarray, seed: int = 0) -> np.ndarray:
-        power, inverse = _powers(seed, len(self.raw) + 1)
-        if seed not in self.prefix:
+    def hashes(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        power, inverse = _powers(0, len(self.raw) + 1)
+        if 0 not in self.prefix:
             with np.errstate(over="ignore"):
-                self.prefix[seed] = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_RANDOM[seed][self.raw] * power[: len(self.raw)], dtype=np.uint64)))
-        p = self.prefix[seed]
+                self.prefix[0] = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_RANDOM[0][self.raw] * power[: len(self.raw)], dtype=np.uint64)))
+        p = self.prefix[0]
         with np.errstate(over="ignore"):
             return mix((p[right] - p[left]) * inverse[left])
 
+    def checks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The hash of seed 1."""
+        power, inverse = _powers(1, len(self.raw) + 1)
+        prime = np.uint64(_PRIME)
+        if 1 not in self.prefix:
+            terms = (_RANDOM[1] % prime)[self.raw] * power[: len(self.raw)] % prime
+            self.prefix[1] = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64) % prime))
+        p = self.prefix[1]
+        return ((p[right] + prime - p[left]) % prime * inverse[left] % prime).astype(np.uint32)
+
     def anchors(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Anchor, first and last start of the strings of ``width`` bytes that it stands for; of all strings inside the texts.
 

@@ -6,7 +6,8 @@ with the least prefix-polynomial hash. So only anchors whose half-length string
 places. Common extensions are found by hash from the outside in: anchors whose
 whole surroundings, in which every string of theirs lies, are repeated are
 settled at once, and for the rest the strings themselves are sorted by hash.
-Hashes that decide are 96 bits of two independent polynomials.
+Hashes that decide are 64 bits of a polynomial modulo 2**64, verified by 31
+bits of another modulo a prime.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                 doc = np.searchsorted(text.at, a, side="right") - 1
                 has = (a - (width - half) >= text.at[doc]) & (a + width <= text.at[doc + 1])
                 lo, hi = np.where(has, a - (width - half), a), np.where(has, a + width, a + half)
-                found.append((keys[doc], marks[doc], a - text.at[doc], g, text.hashes(lo, hi), (text.hashes(lo, hi, 1) >> np.uint64(32)).astype(np.uint32), has))
+                found.append((keys[doc], marks[doc], a - text.at[doc], g, text.hashes(lo, hi), text.checks(lo, hi), has))
                 size += len(a)
                 if size >= SEND:
                     yield from send()
@@ -188,7 +189,7 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                 run = np.cumsum(count) - count
                 s = np.repeat(lo - run, count) + np.arange(count.sum())
                 doc = np.repeat(doc, count)
-                found.append((keys[doc], marks[doc], s - text.at[doc], text.hashes(s, s + width), (text.hashes(s, s + width, 1) >> np.uint64(32)).astype(np.uint32)))
+                found.append((keys[doc], marks[doc], s - text.at[doc], text.hashes(s, s + width), text.checks(s, s + width)))
                 size += len(s)
                 if size >= SEND:
                     yield from send()

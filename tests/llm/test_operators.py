@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from spanfusion.llm import decontaminate, fingerprints, language, near_duplicates, pii, secrets, sentencepiece_scan, substrings, suffix_dedup, toxicity
+from spanfusion.llm import bytestrings, decontaminate, fingerprints, language, near_duplicates, pii, secrets, sentencepiece_scan, substrings, suffix_dedup, toxicity
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 R = random.Random(3)
@@ -196,6 +196,17 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.remove(none).count() == 0
 
 
+def test_suffix_dedup_tells_strings_of_one_hash_apart(spark):
+    """Thue-Morse strings of 2048 bytes and their complements have equal polynomial hashes modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    texts = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    text = bytestrings.Joined(texts)
+    left = np.array([0, 2048])
+    assert len(set(text.hashes(left, left + 2048).tolist())) == 1 < len(set(text.checks(left, left + 2048).tolist()))
+    table = spark.createDataFrame([*enumerate(texts), (2, texts[0])], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove(table, 2048).collect()} == {0: 2048, 1: 0, 2: 2048}
+
+
 def test_substring_dedup(docs, none):
     width, first = 5, {}
     words = [(i, re.findall(WORD, t or "")) for i, t in ROWS]
