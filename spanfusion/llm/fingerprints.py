@@ -25,6 +25,8 @@ from spanfusion.llm.components import components
 
 SLOTS = 128
 BLOCK = 512
+FEW = 24
+PIECE = 1 << 21
 SIMILARITY = 0.8
 CROWD = 2048
 NEXT = 8
@@ -46,6 +48,18 @@ def _places() -> list[np.ndarray]:
 
 
 _PLACES = _places()
+_SHIFT = 0x9E37
+
+
+def _alone(here: list[int], factors: list[int]) -> tuple[list[int], int]:
+    """The characters that one walk notes from the start of ``here`` on, and how far it gets."""
+    at, last, notes = 0, len(here) - 1, []
+    for factor in factors:
+        c = here[at]
+        notes.append(c)
+        if (c + _SHIFT) * factor & 0x80000000 and at < last:
+            at += 1
+    return notes, at
 
 
 def fingerprints(texts: list[np.ndarray]) -> np.ndarray:
@@ -53,7 +67,7 @@ def fingerprints(texts: list[np.ndarray]) -> np.ndarray:
 
     All texts walk in step, longest first, so that those under way are a
     leading part; a text of n characters takes 2 n steps and a few more, which
-    leads past its end.
+    leads past its end. The last FEW, as very long texts, walk one by one.
     """
     size = np.array([len(t) for t in texts], dtype=np.int64)
     order = np.argsort(-size, kind="stable")
@@ -74,11 +88,16 @@ def fingerprints(texts: list[np.ndarray]) -> np.ndarray:
             live -= 1
         notes = np.empty((stop - start, live), dtype=np.uint32)
         own, last = at[:live], end[:live]
-        for j in range(stop - start):
-            c = flat[own]
-            notes[j] = c
-            own += ((c + np.uint32(0x9E37)) * factors[j] >> np.uint32(31)).astype(np.int64)
-            np.minimum(own, last, out=own)
+        if live > FEW:
+            for j in range(stop - start):
+                c = flat[own]
+                notes[j] = c
+                own += ((c + np.uint32(_SHIFT)) * factors[j] >> np.uint32(31)).astype(np.int64)
+                np.minimum(own, last, out=own)
+        else:
+            for k in range(live):
+                notes[:, k], ahead = _alone(flat[own[k] : min(own[k] + BLOCK, last[k]) + 1].tolist(), factors.tolist())
+                own[k] += ahead
         a, b = np.searchsorted(sorted_steps, (start, stop))
         which = by_step[a:b]
         out[which // SLOTS, which % SLOTS] = notes[sorted_steps[a:b] - start, which // SLOTS]
@@ -155,7 +174,7 @@ def fingerprint(documents: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(columns, out, strict=True)], schema=out)
 
         for batch in returned(batches):
-            for piece in slices(batch, 4, rows=2048):
+            for piece in slices(batch, 4, rows=2048, size=PIECE):
                 s, f, _, i, t = (c.to_pylist() for c in piece.columns)
                 pending += zip(s, f, i, (x or "" for x in t), strict=True)
                 if len(pending) > 1:
