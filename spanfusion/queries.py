@@ -38,13 +38,17 @@ def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Texts without formulas, and a span around each of their full lines."""
-    plain = _read(spark, sf_dir, "documents").select("doc_id", F.translate("text", "$", "S").alias("markdown"))
-    lines = plain.select("doc_id", F.posexplode(F.split("markdown", "\n", -1)).alias("i", "line"))
+    """Whole texts, a span around each full line, some with two boxes, and one around the first half of each third line."""
+    texts = _read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("markdown"))
+    lines = texts.select("doc_id", F.posexplode(F.split("markdown", "\n", -1)).alias("i", "line"))
     upto = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = lines.withColumn("end", (F.sum(F.length("line") + 1).over(upto) - 1).cast("int")).withColumn("start", F.col("end") - F.length("line"))
+    half = F.expr("cast(start + length(line) div 2 as int)")
+    kinds = F.array(F.struct((2 * F.col("i")).alias("ord"), F.col("end").alias("end")), F.struct((2 * F.col("i") + 1).alias("ord"), F.when(F.col("i") % 3 == 0, half).otherwise(F.col("start")).alias("end")))
+    each = placed.withColumn("k", F.explode(kinds))
     box = F.struct((F.col("i") % 10 * 100).cast("int").alias("top"), F.lit(50).alias("left"), (F.col("i") % 10 * 100 + 80).cast("int").alias("bottom"), F.lit(950).alias("right"))
-    return plain, placed.select("doc_id", F.col("i").alias("ord"), "start", "end", F.expr("i div 10").cast("int").alias("page"), F.array(box).alias("boxes"))
+    boxes = F.when(F.col("i") % 5 == 4, F.array(box, box)).otherwise(F.array(box))
+    return texts, each.select("doc_id", "k.ord", "start", "k.end", F.expr("i div 10").cast("int").alias("page"), boxes.alias("boxes"))
 
 
 def _ranges(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
@@ -107,7 +111,7 @@ def strip_lines(spark, sf_dir):
 
 def validation_map(spark, sf_dir):
     found = spans.validation_map(spans.annotate(*_line_spans(spark, sf_dir)))
-    return found.select("doc_id", "start", "end", "page", F.col("boxes")[0]["top"].alias("top"))
+    return found.select("doc_id", "start", "end", "page", F.col("boxes")[0]["top"].alias("top"), F.size("boxes").alias("n_boxes"))
 
 
 def span_coverage(spark, sf_dir):
@@ -179,9 +183,25 @@ cut AS (SELECT user_id, pos, held, lead(pos) OVER (PARTITION BY user_id ORDER BY
 SELECT user_id, pos AS s, nxt AS e FROM cut WHERE held"""
 
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)"
-_PLAIN = "lines AS (SELECT doc_id, unnest(string_split(replace(text, '$', 'S'), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)"
 _BARE = "CASE WHEN i % 7 = 3 THEN '<!--table-->' || chr(10) WHEN i % 11 = 5 THEN '<!--figure-->' || chr(10) ELSE '' END || line"
-_PLACED = "placed AS (SELECT doc_id, i, line, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS INTEGER) AS e FROM lines)"
+_MATH = r"'\$\$[\s\S]+?\$\$|\$[^$]+?\$'"
+_TAGS = f"""{_LINES},
+placed AS (SELECT doc_id, i, length(line) AS n, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS e FROM lines),
+given AS (
+  SELECT doc_id, 2 * i AS ord, i, e - n AS s, e FROM placed WHERE n > 0
+  UNION ALL SELECT doc_id, 2 * i + 1, i, e - n, e - n + n // 2 FROM placed WHERE i % 3 = 0 AND n > 1),
+cut AS (SELECT doc_id, regexp_extract_all(text, {_MATH}) AS m, string_split_regex(text, {_MATH}) AS p FROM documents),
+parts AS (SELECT doc_id, unnest(m) AS m, unnest(p[:len(m)]) AS p, generate_subscripts(m, 1) AS k FROM cut),
+formulas AS (SELECT doc_id, sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS fe, length(m) AS n FROM parts),
+grown AS (
+  SELECT g.doc_id, ord, i, least(s, min(fe - n)) AS s, greatest(e, min(fe)) AS e
+  FROM given g LEFT JOIN formulas f ON g.doc_id = f.doc_id AND greatest(s, fe - n) < least(e, fe) GROUP BY g.doc_id, ord, i, s, e),
+boxed AS (SELECT *, (i % 10 * 100) || ',50,' || (i % 10 * 100 + 80) || ',950' AS box FROM grown),
+tags AS (
+  SELECT doc_id, s AS pos, 1 AS opens, s - e AS k1, ord AS k2, i,
+    '<span data-bbox="' || box || CASE WHEN i % 5 = 4 THEN ';' || box ELSE '' END || '" data-page="' || (i // 10) || '">' AS tag FROM boxed
+  UNION ALL SELECT doc_id, e, 0, e - s, -ord, i, '</span>' FROM boxed),
+ranked AS (SELECT *, row_number() OVER w AS r, lag(pos, 1, 0) OVER w AS was, sum(2 * opens - 1) OVER w + 1 - opens AS level FROM tags WINDOW w AS (PARTITION BY doc_id ORDER BY pos, opens, k1, k2 ROWS UNBOUNDED PRECEDING))"""
 
 ORACLES = {
     "interval_union": _SWEEP.format(ranges=_RANGES.strip(), holds="a > 0 OR b > 0"),
@@ -202,13 +222,16 @@ FROM numbered GROUP BY doc_id, i // 10""",
     "assemble_markdown": f"""WITH {_LINES},
 chunks AS (SELECT doc_id, i // 10 AS c, string_agg({_BARE}, chr(10) || chr(10) ORDER BY i) AS t FROM lines GROUP BY doc_id, i // 10)
 SELECT doc_id, string_agg(t, chr(10) || chr(10) || '<!--page-->' || chr(10) || chr(10) ORDER BY c) AS markdown FROM chunks GROUP BY doc_id""",
-    "annotate_lines": f"""WITH {_PLAIN}
-SELECT doc_id, string_agg(CASE WHEN line = '' THEN '' ELSE '<span data-bbox="' || (i % 10 * 100) || ',50,' || (i % 10 * 100 + 80) || ',950" data-page="' || (i // 10) || '">' || line || '</span>' END, chr(10) ORDER BY i) AS annotated
-FROM lines GROUP BY doc_id""",
-    "strip_lines": "SELECT doc_id, replace(text, '$', 'S') AS plain_text FROM documents",
-    "validation_map": f"""WITH {_PLAIN}, {_PLACED}
-SELECT doc_id, CAST(e - length(line) AS INTEGER) AS "start", e AS "end", CAST(i // 10 AS INTEGER) AS page, CAST(i % 10 * 100 AS INTEGER) AS top FROM placed WHERE line <> ''""",
-    "span_coverage": f"""WITH {_PLAIN}
+    "annotate_lines": f"""WITH {_TAGS},
+made AS (SELECT doc_id, string_agg(substr(text, CAST(was + 1 AS BIGINT), CAST(pos - was AS BIGINT)) || tag, '' ORDER BY r) AS head, max(pos) AS pos FROM ranked JOIN documents USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, coalesce(head || substr(text, CAST(pos + 1 AS BIGINT)), text) AS annotated FROM documents LEFT JOIN made USING (doc_id)""",
+    "strip_lines": "SELECT doc_id, text AS plain_text FROM documents",
+    "validation_map": f"""WITH {_TAGS},
+paired AS (SELECT *, lead(pos) OVER (PARTITION BY doc_id, level ORDER BY r) AS e FROM ranked)
+SELECT doc_id, CAST(pos AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end", CAST(i // 10 AS INTEGER) AS page, CAST(i % 10 * 100 AS INTEGER) AS top,
+  CASE WHEN i % 5 = 4 THEN 2 ELSE 1 END AS n_boxes
+FROM paired WHERE opens = 1""",
+    "span_coverage": f"""WITH {_LINES}
 SELECT d.doc_id, coalesce(CAST(sum(length(line)) AS DOUBLE) / nullif(any_value(length(d.text)), 0), 0.0) AS coverage
 FROM documents d LEFT JOIN lines USING (doc_id) GROUP BY d.doc_id""",
     "sniff_files": """WITH made AS (
