@@ -32,6 +32,15 @@ def _run(base: int, n: int, modulus: int) -> np.ndarray:
     return out
 
 
+def beginnings(rows: np.ndarray) -> np.ndarray:
+    """For each row of bytes the hash of seed 0, unmixed, of its first 0, 1, 2 and so on bytes."""
+    width = rows.shape[1]
+    out = np.zeros((len(rows), width + 1), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_RANDOM[0][rows] * _powers(0, width)[0][:width], axis=1, dtype=np.uint64, out=out[:, 1:])
+    return out
+
+
 class Joined:
     """Texts as one run of bytes, with prefix polynomial hashes.
 

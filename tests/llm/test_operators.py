@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from spanfusion.llm import bytestrings, decontaminate, fingerprints, language, near_duplicates, pii, secrets, sentencepiece_scan, substrings, suffix_dedup, toxicity
+from spanfusion.llm import bytestrings, decontaminate, fingerprints, language, near_duplicates, pii, secrets, sentencepiece_scan, substrings, suffix_dedup, suffix_order, toxicity
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 R = random.Random(3)
@@ -178,7 +179,7 @@ def test_language_on_held_out_rows(spark, docs, none):
     assert language.told(docs, model).columns == docs.columns
 
 
-def test_suffix_dedup(docs, none):
+def test_suffix_dedup(docs, none, monkeypatch):
     width = 40
     count = collections.Counter()
     blobs = [(i, (t or "").encode()) for i, t in ROWS]
@@ -192,10 +193,30 @@ def test_suffix_dedup(docs, none):
                 gone[s : s + width] = [True] * width
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want[(i, len(b), sum(gone), sum(k for k, _ in itertools.groupby(gone)), hashlib.sha256(kept).hexdigest())] += 1
-    assert collections.Counter(tuple(r) for r in suffix_dedup.remove(docs, width).collect()) == want
+    for together in (suffix_dedup.TOGETHER, 2, 0):  # anchors sorted, partly or all strings dealt
+        monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+        assert collections.Counter(tuple(r) for r in suffix_dedup.remove(docs, width).collect()) == want
     assert suffix_dedup.remove(none).count() == 0
 
 
+@pytest.mark.parametrize("weak", [None, 0, 3])
+def test_suffix_order(monkeypatch, weak):
+    """Also with hashes of a few bits, which collide: bytes have the last word."""
+    if weak is not None:
+        strong = bytestrings.beginnings
+        monkeypatch.setattr(bytestrings, "beginnings", lambda rows: strong(rows) & np.uint64(weak))
+    rng = np.random.default_rng(1)
+    rows = rng.integers(97, 99, (300, 12), dtype=np.uint8)
+    sizes, group = rng.integers(0, 13, 300), np.sort(np.unique(rng.integers(0, 9, 300), return_inverse=True)[1])
+    rows[np.arange(12) >= sizes[:, None]] = 0
+    order, common = suffix_order.ordered(rows, sizes, group)
+    text = [rows[i, : sizes[i]].tobytes() for i in range(300)]
+    assert sorted(order.tolist()) == list(range(300)) and (group[order] == group).all()
+    assert [text[i] for i in order] == [t for g in range(group[-1] + 1) for t in sorted(text[i] for i in np.flatnonzero(group == g))]
+    for k, (x, y) in enumerate(zip(order, order[1:], strict=False)):
+        assert common[k + 1] == (len(os.path.commonprefix([text[x], text[y]])) if group[x] == group[y] else -1)
+
+
 def test_suffix_dedup_tells_strings_of_one_hash_apart(spark):
     """Thue-Morse strings of 2048 bytes and their complements have equal polynomial hashes modulo 2**64."""
     bits = [bin(i).count("1") & 1 for i in range(2048)]
