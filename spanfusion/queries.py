@@ -153,11 +153,13 @@ def align_spans(spark, sf_dir):
 
 
 def resolve_quotes(spark, sf_dir):
-    """The first line of each document and a part of its last, looked for in the annotated text."""
+    """The first line of each document and a part of its last, looked for in the annotated text; boxes as page, top, left, bottom and right."""
     plain, placed = _line_spans(spark, sf_dir)
     lines = F.split(F.col("markdown"), "\n", -1)
     quotes = plain.select("doc_id", F.explode(F.array(F.element_at(lines, 1), F.substring(F.element_at(lines, -1), 1, 60))).alias("quote"))
-    return resolve.resolve(spans.annotate(plain, placed), quotes)
+    box = lambda x: F.concat_ws(" ", x["page"], *(x["box"][k] for k in ("top", "left", "bottom", "right")))
+    found = resolve.resolve(spans.annotate(plain, placed), quotes)
+    return found.select("doc_id", "quote", F.size("locations").alias("n_locations"), F.array_join(F.transform("locations", box), ";").alias("locations"))
 
 
 QUERIES = {
@@ -203,6 +205,10 @@ tags AS (
   UNION ALL SELECT doc_id, e, 0, e - s, -ord, i, '</span>' FROM boxed),
 ranked AS (SELECT *, row_number() OVER w AS r, lag(pos, 1, 0) OVER w AS was, sum(2 * opens - 1) OVER w + 1 - opens AS level FROM tags WINDOW w AS (PARTITION BY doc_id ORDER BY pos, opens, k1, k2 ROWS UNBOUNDED PRECEDING))"""
 
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(8490), 'abcdefghijklmnopqrstuvwxyzk')"
+_BARE_OF_SPACE = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_BOUNDARY = rf"[.!?][{markdown.SUPERSCRIPTS}]*(?:\s+\d[\d,\-]*)?\s+"
+
 ORACLES = {
     "interval_union": _SWEEP.format(ranges=_RANGES.strip(), holds="a > 0 OR b > 0"),
     "interval_intersect": _SWEEP.format(ranges=_RANGES.strip(), holds="a > 0 AND b > 0"),
@@ -211,6 +217,53 @@ ORACLES = {
 SELECT x.user_id, count(*) FILTER (x.s < y.e AND x.e > y.s) AS n_overlaps, count(*) FILTER (x.s >= y.s AND x.e <= y.e) AS n_contained,
   count(*) FILTER (y.s <= x.s AND x.s < y.e) AS n_in_range
 FROM ra x JOIN ra y ON x.user_id = y.user_id AND x.side = 0 AND y.side = 1 GROUP BY x.user_id""",
+    "parse_segments": rf"""WITH {_LINES},
+chunks AS (SELECT doc_id, i // 10 AS c, string_agg({_BARE}, chr(10) || chr(10) ORDER BY i) AS t FROM lines GROUP BY doc_id, i // 10),
+made AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) || '<!--page-->' || chr(10) || chr(10) ORDER BY c) AS t FROM chunks GROUP BY doc_id),
+apart AS (SELECT doc_id, chr(10) || chr(10) || '<!--page-->' || CASE WHEN t LIKE chr(10) || '%' THEN '' ELSE chr(10) || chr(10) END || t AS md FROM made),
+cut AS (SELECT doc_id, string_split_regex(md, '\n{{2,}}') AS b, regexp_extract_all(md, '\n{{2,}}') AS g FROM apart),
+each AS (SELECT doc_id, unnest(b) AS block, unnest(list_concat(g, [''])) AS gap, generate_subscripts(b, 1) AS i FROM cut),
+blocks AS (
+  SELECT doc_id, i, block, sum(length(block) + length(gap)) OVER w - length(gap) AS md_end,
+    sum((length(block) - length(replace(block, '<!--page-->', ''))) // 11) OVER w - 1 AS page
+  FROM each WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+bare AS (SELECT doc_id, i, page, md_end, md_end - length(block) AS md_start, {_BARE_OF_SPACE.format("regexp_replace(block, '(?s)<!--.*?-->', '', 'g')")} AS t FROM blocks WHERE page >= 0),
+kinds AS (
+  SELECT *, CASE WHEN regexp_matches(t, '^#{{1,6}}\s') THEN 'line' WHEN t LIKE '>%' THEN 'quote' WHEN regexp_matches(t, '^\s{{0,3}}([-*+]|\d+[.)]) ') THEN 'line'
+    WHEN regexp_matches(t, '^\s*\|[-:\s|]+\|\s*$') THEN 'rule' WHEN contains(t, '|') THEN 'table' ELSE 'prose' END AS kind
+  FROM bare WHERE t <> ''),
+prose AS (
+  SELECT doc_id, i, regexp_replace(CASE kind WHEN 'quote' THEN {_BARE_OF_SPACE.format("regexp_replace(t, '^>[\\s]?', '')")} ELSE t END, '({_BOUNDARY})([A-Z])', '\1' || chr(1) || '\2', 'g') AS t
+  FROM kinds WHERE kind IN ('quote', 'prose')),
+pieces AS (SELECT doc_id, i, unnest(string_split(t, chr(1))) AS t, generate_subscripts(string_split(t, chr(1)), 1) AS k FROM prose),
+words AS (SELECT *, regexp_extract(regexp_replace(t, '{_BOUNDARY}$', ''), '([a-zA-Z]+)[{markdown.SUPERSCRIPTS}0-9,\-]*$', 1) AS word FROM pieces),
+ends AS (SELECT *, CASE WHEN word = '' OR (length(word) > 1 AND lower(word) NOT IN ({", ".join(f"'{w}'" for w in sorted(markdown.ABBREVIATIONS))})) THEN 1 ELSE 0 END AS over FROM words),
+runs AS (SELECT *, sum(over) OVER (PARTITION BY doc_id, i ORDER BY k ROWS UNBOUNDED PRECEDING) - over AS run FROM ends),
+texts AS (
+  SELECT doc_id, i, run AS k, string_agg(t, '' ORDER BY k) AS t FROM runs GROUP BY doc_id, i, run
+  UNION ALL SELECT doc_id, i, 0, t FROM kinds WHERE kind = 'line'
+  UNION ALL SELECT doc_id, i, generate_subscripts(string_split(t, '|'), 1), unnest(string_split(t, '|')) FROM kinds WHERE kind = 'table'),
+found AS (SELECT doc_id, i, k, {_BARE_OF_SPACE.format("t")} AS t FROM texts)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INTEGER) AS seq, f.t AS text, CAST(page AS INTEGER) AS page,
+  CAST(md_start AS INTEGER) AS md_start, CAST(md_end AS INTEGER) AS md_end
+FROM found f JOIN bare USING (doc_id, i) WHERE f.t <> ''""",
+    "resolve_quotes": f"""WITH {_TAGS},
+paired AS (SELECT *, lead(pos) OVER (PARTITION BY doc_id, level ORDER BY r) AS e FROM ranked),
+texts AS (SELECT doc_id, length(text) AS n, {_LOW.format("text")} AS low, string_split(text, chr(10)) AS l FROM documents),
+asked AS (SELECT DISTINCT doc_id, unnest([l[1], substr(l[-1], 1, 60)]) AS quote FROM texts),
+split AS (SELECT doc_id, regexp_extract_all(low, '[a-z0-9]+|[^a-z0-9]+') AS t FROM texts),
+tokens AS (SELECT doc_id, unnest(t) AS t, generate_subscripts(t, 1) AS k FROM split),
+sized AS (SELECT doc_id, k, length(t) AS n, CASE WHEN regexp_matches(t, '[a-z0-9]') THEN length(t) ELSE 1 END AS m FROM tokens),
+places AS (SELECT doc_id, sum(n) OVER w - n AS at, sum(m) OVER w - m AS s, sum(m) OVER w AS e FROM sized WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+norms AS (SELECT doc_id, n, regexp_replace(low, '[^a-z0-9]+', ' ', 'g') AS a FROM texts),
+quotes AS (SELECT doc_id, quote, regexp_replace({_LOW.format(_BARE_OF_SPACE.format("quote"))}, '[^a-z0-9]+', ' ', 'g') AS b FROM asked),
+last AS (SELECT doc_id, quote, n, length(a) - position(reverse(b) IN reverse(a)) - length(b) + 1 AS s, length(b) AS m FROM quotes JOIN norms USING (doc_id) WHERE length(b) >= {resolve.MIN_SCORE}),
+met AS (
+  SELECT q.doc_id, quote, x.at + q.s - x.s AS s, coalesce(y.at + q.s + q.m - y.s, n) AS e
+  FROM last q JOIN places x ON q.doc_id = x.doc_id AND x.s <= q.s AND q.s < x.e LEFT JOIN places y ON q.doc_id = y.doc_id AND y.s <= q.s + q.m AND q.s + q.m < y.e),
+hits AS (SELECT DISTINCT m.doc_id, quote, i // 10 AS page, i % 10 * 100 AS top FROM met m JOIN paired p ON m.doc_id = p.doc_id AND opens = 1 AND pos < m.e AND p.e > m.s)
+SELECT doc_id, quote, CAST(count(page) AS INTEGER) AS n_locations, coalesce(string_agg(page || ' ' || top || ' 50 ' || (top + 80) || ' 950', ';' ORDER BY page, top), '') AS locations
+FROM asked LEFT JOIN hits USING (doc_id, quote) GROUP BY doc_id, quote""",
     "normalize_text": """SELECT doc_id, trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(8490), 'abcdefghijklmnopqrstuvwxyzk'), '[^a-z0-9]+', ' ', 'g'), ' ') AS norm
 FROM documents""",
     "renumber_markers": f"""WITH {_LINES},
