@@ -11,6 +11,7 @@ these figures gives the score.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import Counter
 
 import numpy as np
@@ -34,6 +35,30 @@ REPORTS = frozenset("said says called calls quote quoted wrote word term sagte n
 ADDRESS = frozenset("you your u du dich dein ihr sie tu toi vous ton tú vos usted eres".split())
 
 
+_MARK = re.compile(f"[{QUOTES}]")
+
+
+def quotations(text: str) -> list[tuple[int, bool, bool]]:
+    """Place of each quotation mark, and if it can open and can close; apostrophes inside words are none."""
+    out = []
+    for m in _MARK.finditer(text):
+        a, ch, b = text[m.start() - 1 : m.start()], m[0], text[m.end() : m.end() + 1]
+        opens = not a.isalnum() and (bool(b.strip()) or ch in "«‹")
+        closes = not b.isalnum() and (bool(a.strip()) or ch in "»›")
+        if opens or closes:
+            out.append((m.start(), opens, closes))
+    return out
+
+
+def inside(marks: list[tuple[int, bool, bool]], places: list[tuple[int, int]], i: int) -> bool:
+    """If word ``i`` stands in a quotation: the last mark before it opens, the next one closes, both within the window."""
+    k = bisect(marks, (places[i][0],))
+    if not 0 < k < len(marks):
+        return False
+    first, last = places[max(0, i - WINDOW)][0], places[min(len(places) - 1, i + WINDOW)][1]
+    return marks[k - 1][1] and marks[k][2] and marks[k - 1][0] >= first - 2 and marks[k][0] <= last + 2
+
+
 class Automaton:
     """Trie of words and beginnings (ending in ``*``), with the words' neighbours at one edit."""
 
@@ -126,13 +151,11 @@ def figures(text: str | None, automaton: Automaton) -> list[float]:
         return [0.0] * 7 + [np.log1p(len(words))]
     at = [(i, *hits[w]) for i, w in enumerate(words) if w in hits]
     places = [m.span() for m in WORD.finditer(low)]
-    sums = {i: w for i, w, _ in at}
+    sums, marks = {i: w for i, w, _ in at}, quotations(low)
     exact = fuzzy = quoted = addressed = densest = 0.0
     for i, w, edits in at:
-        a, b = places[i]
         near = words[max(0, i - WINDOW) : i + WINDOW + 1]
-        marks = any(ch in QUOTES for ch in low[max(0, a - 2) : a]) and any(ch in QUOTES for ch in low[b : b + 3])
-        if marks or not REPORTS.isdisjoint(words[max(0, i - 3) : i]):
+        if inside(marks, places, i) or not REPORTS.isdisjoint(words[max(0, i - 3) : i]):
             quoted += w
         elif edits:
             fuzzy += w
