@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE_ROWS = 512
 SLICE_BYTES = 1 << 20
+GROUP_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,20 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def groups(spark: SparkSession, size: int) -> int:
+    """How many groups ``size`` bytes are dealt out to by hash: of GROUP_BYTES each, ``spark.sql.shuffle.partitions`` at least. A task takes one at a time."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
+
+
+def dealt_out(part: np.ndarray, some: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part's number and, in order, the rows of it that are in ``some``."""
+    own = np.flatnonzero(some)
+    own = own[np.argsort(part[own], kind="stable")]
+    edges = np.append(np.flatnonzero(np.diff(part[own], prepend=-1)), len(own))
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield int(part[own[a]]), own[a:b]
+
+
 def slices(batch: pa.RecordBatch, weight: int | None = None, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Pieces of ``batch`` of ``rows`` rows and about ``size`` bytes of column ``weight`` at most; a longer text is a piece of its own."""
     if weight is None:

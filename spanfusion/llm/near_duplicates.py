@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spanfusion.llm.common import mix, returned, slices, stored, thinned
+from spanfusion.llm.common import dealt_out, groups, mix, returned, slices, stored, thinned
 from spanfusion.llm.components import components
 from spanfusion.llm.substrings import windows, words
 
@@ -174,7 +174,7 @@ def _classes(documents: DataFrame, shingle: int, similarity: int) -> tuple[DataF
     meta = stored(docs.select("doc_id", F.xxhash64("text", F.col("doc_id").isNull()), "text").mapInArrow(describe, meta_kind))
     sets = meta.where(F.col("cls").isNotNull())
     classes = stored(sets.groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    members = stored(_bands(sets, n))
+    members = stored(_bands(sets, groups(spark, sets.count() * BANDS * 24)))
 
     full = stored(_full_sets(docs, classes, members.select("cls").distinct(), shingle))
     stars = members.where("cls <> leader").select(F.least("leader", "cls").alias("a"), F.greatest("leader", "cls").alias("b")).distinct()
@@ -213,10 +213,8 @@ def _bands(sets: DataFrame, n: int) -> DataFrame:
             keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64)
             cls, ids = np.repeat(cls, BANDS), np.repeat(ids, BANDS)
             part = (keys % np.uint64(n)).astype(np.int64)
-            for k in range(n):
-                own = part == k
-                if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip((k, keys[own].tobytes(), cls[own].tobytes(), ids[own].tobytes()), out, strict=True)], schema=out)
+            for k, own in dealt_out(part, np.ones(len(part), bool)):
+                yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip((k, keys[own].tobytes(), cls[own].tobytes(), ids[own].tobytes()), out, strict=True)], schema=out)
 
     def meet(table: pa.Table) -> pa.Table:
         keys, cls, ids = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("cls", np.int64), ("ids", np.int64)))

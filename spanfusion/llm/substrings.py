@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spanfusion.llm.common import mix, returned, slices, utf8
+from spanfusion.llm.common import dealt_out, groups, mix, returned, slices, utf8
 from spanfusion.llm.sketches import GATHER, dealt, gathered, maybe_repeated, pack_places, repeated_cells, rows_table, unpack, unpack_places, width_bits
 
 WIDTH = 13
@@ -97,7 +97,7 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             yield w[inner(at, len(w), width)]
 
     sketch = repeated_cells(spark, known.select("text"), hashes, bits)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = groups(spark, sized)  # a repeated window takes some 16 bytes, a word of text 6
     kind = T.StructType.fromDDL("part int, ids binary, marks binary, counts binary, places binary, h binary, g binary")
 
     def group(h: np.ndarray, g: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,11 +117,9 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         decided = d > smallest
         part = (h % np.uint64(n)).astype(np.int64)
         out = to_arrow_schema(kind)
-        for k in range(n):
-            for over in (False, True):
-                own = np.flatnonzero((part == k) & (decided == over))
-                if len(own):
-                    yield row(k, d[own], m[own], p[own], None if over else h[own], None if over else g[own], out)
+        for over in (False, True):
+            for k, own in dealt_out(part, decided == over):
+                yield row(k, d[own], m[own], p[own], None if over else h[own], None if over else g[own], out)
 
     def row(k, d, m, p, h, g, out) -> pa.RecordBatch:
         values = [k, *pack_places(d, m, p), None if h is None else h.tobytes(), None if g is None else g.astype(np.uint32).tobytes()]

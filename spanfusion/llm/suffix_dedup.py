@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanfusion.llm import suffix_order
 from spanfusion.llm.bytestrings import Joined
-from spanfusion.llm.common import returned, slices, stored, thinned
+from spanfusion.llm.common import dealt_out, groups, returned, slices, stored, thinned
 from spanfusion.llm.sketches import GATHER, dealt, gathered, maybe_repeated, pack_places, repeated_cells, rows_table, unpack, unpack_places, width_bits
 
 WIDTH = 400
@@ -124,7 +124,7 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     known = docs.where(F.octet_length("text") >= width).select("key", "mark", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = width_bits(total * 2 // half)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = groups(spark, total)  # an anchor takes some 30 bytes, and two of half a string's bytes are anchors
 
     def grams(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in slices(batch, 0, size=PIECE):
@@ -147,14 +147,11 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             settled = (count[group] > 1) & has
             sole = ~settled | (first[group] == np.arange(len(group)))
             part = (g % np.uint64(n)).astype(np.int64)
-            for k in range(n):
-                own = np.flatnonzero((part == k) & sole)
-                if len(own):
-                    twice = settled[own].astype(np.uint8) + 2 * has[own].astype(np.uint8)
-                    yield _row([k, *pack_places(d[own], m[own], a[own]), g[own].tobytes(), u[own].tobytes(), v[own].tobytes(), twice.tobytes()], out)
-                rest = np.flatnonzero((part == k) & ~sole)
-                if len(rest):
-                    yield _row([k, *pack_places(d[rest], m[rest], a[rest]), None, None, None, None], out)
+            for k, own in dealt_out(part, sole):
+                twice = settled[own].astype(np.uint8) + 2 * has[own].astype(np.uint8)
+                yield _row([k, *pack_places(d[own], m[own], a[own]), g[own].tobytes(), u[own].tobytes(), v[own].tobytes(), twice.tobytes()], out)
+            for k, rest in dealt_out(part, ~sole):
+                yield _row([k, *pack_places(d[rest], m[rest], a[rest]), None, None, None, None], out)
 
         for batch in returned(batches):
             for piece in slices(batch, 2, size=PIECE):
@@ -226,12 +223,10 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             first[group[::-1]] = np.arange(len(group))[::-1]
             settled, sole = count[group] > 1, first[group] == np.arange(len(group))
             part = (h % np.uint64(parts)).astype(np.int64)
-            for k in np.unique(part).tolist():
-                own, rest = np.flatnonzero((part == k) & sole), np.flatnonzero((part == k) & ~sole)
-                if len(own):
-                    yield _row([k, *pack_places(d[own], m[own], s[own]), h[own].tobytes(), v[own].tobytes(), np.packbits(settled[own]).tobytes(), None, None], out)
-                if len(rest):
-                    yield _row([k, *pack_places(d[rest], m[rest], s[rest]), None, None, None, None, None], out)
+            for k, own in dealt_out(part, sole):
+                yield _row([k, *pack_places(d[own], m[own], s[own]), h[own].tobytes(), v[own].tobytes(), np.packbits(settled[own]).tobytes(), None, None], out)
+            for k, rest in dealt_out(part, ~sole):
+                yield _row([k, *pack_places(d[rest], m[rest], s[rest]), None, None, None, None, None], out)
 
         def send_windows():
             d, m, a, g, w, sides = (np.concatenate(x) for x in zip(*anchored, strict=True))
@@ -241,8 +236,7 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             twice = np.bincount(np.cumsum(new) - 1) > 1
             order = order[new]
             part = (g[order] % np.uint64(parts)).astype(np.int64)
-            for k in np.unique(part).tolist():
-                at = np.flatnonzero(part == k)
+            for k, at in dealt_out(part, np.ones(len(part), bool)):
                 own = order[at]
                 yield _row([k, *pack_places(d[own], m[own], a[own]), g[own].tobytes(), None, np.packbits(twice[at]).tobytes(), w[own].tobytes(), sides[own].tobytes()], out)
 

@@ -335,6 +335,10 @@ def test_levenshtein_automaton():
         near = max([v for k, v in words.items() if not k.endswith("*") and len(k) >= 5 and edits(k, word) == 1], default=None)
         assert automaton.match(word) == ((exact, 0) if exact else (near, 1) if near else None), word
     assert toxicity.figures('they said "idiot" twice', automaton)[0] == 0 < toxicity.figures("you idiot", automaton)[0]
+    for text in ('a sign read "what an idiot he is, we think." there', "et « un idiot ici » enfin", "er: „so ein idiot, ja“ und", "don't: 'the idiot' isn't"):
+        assert toxicity.figures(text, automaton)[0] == 0 < toxicity.figures(text, automaton)[5]
+    for text in ('"yes" idiot "no"', "don't idiot can't", "« oui » idiot « non »", '"' + "far " * 30 + "idiot " + "far " * 30 + '"', 'idiot"', '"idiot'):
+        assert toxicity.figures(text, automaton)[0] > 0 == toxicity.figures(text, automaton)[5]
 
 
 def test_pii_base_and_more(spark, docs, none):
