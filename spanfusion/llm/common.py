@@ -176,3 +176,13 @@ def mix(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+def words(bare: bytes, size: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The words of ``bare`` between ASCII blanks, list by list, each of about ``size`` bytes, so that no long text is held as one list."""
+    at = 0
+    while at < len(bare):
+        end = bare.find(b" ", at + size) if at + size < len(bare) else -1
+        end = len(bare) if end < 0 else end
+        yield bare[at:end].split()
+        at = end

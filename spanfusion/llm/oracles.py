@@ -78,8 +78,84 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, s
 FROM texts LEFT JOIN cut USING (doc_id)
 """
 
+OP11_CHAT_FORMAT = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, '<|im_start|>' || role || chr(10)
+    || regexp_replace(text, '(<)(\\*(?:\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>))|(\[)(\\*(?:INST\]|/INST\]))', '\1\3\\\2\4', 'g')
+    || '<|im_end|>' || chr(10) AS piece
+  FROM given
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, piece)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, piece) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(piece))::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+OP12_LEXICAL_SEARCH = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), stats AS (
+  SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM docs WHERE len(w) > 0
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), counts AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM counts, stats GROUP BY term, n_docs
+), gains AS (
+  SELECT r, doc_id, term, weights.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * len(docs.w) * n_docs) // n_terms)))) AS g
+  FROM counts JOIN weights USING (term) JOIN docs USING (r), stats
+), scores AS (
+  SELECT item_id, r, doc_id, sum(g)::BIGINT AS score FROM asked JOIN gains USING (term) GROUP BY item_id, r, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
+OP13_SOURCE_DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), words AS (
+  SELECT r, lang, source, unnest(w) AS term FROM docs
+), kept AS (
+  SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT lang, source, (SELECT count(*) FROM kept k WHERE k.lang = d.lang) AS v, (SELECT coalesce(sum(n), 0)::BIGINT FROM counted c WHERE c.lang = d.lang AND c.source = d.source) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) d
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v) AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), base AS (
+  SELECT s.lang, s.term, 1 + (1000000000::HUGEINT * (sum(s.n) + 5)) // ((SELECT sum(total) FROM groups g WHERE g.lang = s.lang) + 5 * (SELECT count(*) FROM kept k WHERE k.lang = s.lang)) AS q
+  FROM shares s GROUP BY s.lang, s.term
+), apart AS (
+  SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source
+), found AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f, 0)::BIGINT AS value
+  FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN apart a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares JOIN base USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 50
+"""
+
 ORACLES = {
     "op4_suffix_dedup": OP4_SUFFIX_DEDUP,
     "op9_near_duplicates": OP9_NEAR_DUPLICATES,
     "op10_substring_dedup": OP10_SUBSTRING_DEDUP,
+    "op11_chat_format": OP11_CHAT_FORMAT,
+    "op12_lexical_search": OP12_LEXICAL_SEARCH,
+    "op13_source_divergence": OP13_SOURCE_DIVERGENCE,
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanfusion.llm import decontaminate, fingerprints, language, near_duplicates, oracles, pii, secrets, sentencepiece_scan, substrings, suffix_dedup, toxicity
+from spanfusion.llm import chat, decontaminate, divergence, fingerprints, language, near_duplicates, oracles, pii, search, secrets, sentencepiece_scan, substrings, suffix_dedup, toxicity
 from spanfusion.llm.common import table
 
 
@@ -56,10 +57,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, as records of four layouts, and one that says control strings, formatted and read back."""
+    given = chat.as_records(table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"))
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, json.dumps({"messages": [{"role": "user", "content": said}, {"role": "assistant", "content": said}]}))], "conv_id long, turn long, record string")
+    return chat.read_back(chat.formatted(chat.canonical(given.unionByName(more))))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_sentencepiece, op2_fingerprints, op3_language, op4_suffix_dedup, op5_toxicity, op6_pii, op7_decontaminate, op8_secrets, op9_near_duplicates, op10_substring_dedup,
+        op1_sentencepiece, op2_fingerprints, op3_language, op4_suffix_dedup, op5_toxicity, op6_pii, op7_decontaminate, op8_secrets, op9_near_duplicates, op10_substring_dedup, op11_chat_format, op12_lexical_search, op13_source_divergence,
     )
 }
 

@@ -15,7 +15,8 @@ FOLDER = "/root/testdata/sf0.001"
 def test_query_equals_its_sql(spark, name):
     got = queries.QUERIES[name](spark, FOLDER)
     with duckdb.connect() as db:
-        db.execute(f"CREATE VIEW documents AS FROM '{FOLDER}/documents.parquet'")
+        for name_ in ("documents", "benchmark", "conversations"):
+            db.execute(f"CREATE VIEW {name_} AS FROM '{FOLDER}/{name_}.parquet'")
         found = db.execute(ORACLES[name])
         names = [c[0] for c in found.description]
         wanted = found.fetchall()
