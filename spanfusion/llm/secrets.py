@@ -25,7 +25,7 @@ HEX = re.compile("(?<![0-9a-f])[0-9a-f]{24,}")
 # Formats with a checksum of their own: six base-62 digits of the crc32 of the body.
 SUMMED_WORDS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_")
 SUMMED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)(?:\.(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]+)?")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,9 +47,10 @@ def checksum(body: str) -> str:
 
 
 def _object(part: str) -> bool:
+    """If ``part`` is the base-64 of a JSON object; what nests too deeply to be read is none."""
     try:
         return isinstance(json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))), dict)
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
 
 
@@ -77,9 +78,10 @@ def spans(text: str, automaton: ahocorasick.Automaton) -> tuple[list[tuple[int,
             if (m := SUMMED.match(text, at)) and checksum(m[1]) == m[2]:
                 last[3] = m.end()
                 more.append((at, 3, m.end()))
-        elif (m := JWT.match(text, at)) and _object(m[1]) and _object(m[2]):
-            last[4] = m.end()
-            more.append((at, 4, m.end()))
+        elif m := JWT.match(text, at):
+            last[4] = m.end()  # a run of such characters is read from its first keyword only, so each is read once
+            if m[2] and _object(m[1]) and _object(m[2]):
+                more.append((at, 4, m.end()))
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
     return base, sorted(base + more) if more else base
