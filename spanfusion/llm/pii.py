@@ -21,7 +21,9 @@ import math
 import random
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -33,7 +35,7 @@ from spanfusion.llm.common import bounded_sample, map_slices, returned, slices,
 # Kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone", "iban", "id")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # the leftmost match begins where a run of digits does
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -41,7 +43,8 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 ANY_DIGIT = re.compile("[0-9]")
 NUMBER = re.compile(r"\+?\(?[0-9](?:[ ().\-/]{0,2}[0-9])+")
 ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-AT = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+")
+AT = re.compile(r" ?(?:@|\(at\)|\[at\]) ?")
+HOST = re.compile(r"[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)+")
 CUES = {
     "phone": ("tel", "phone", "call", "fax", "mobile", "handy", "cell", "sms"),
     "card": ("card", "visa", "credit", "karte", "carte", "tarjeta", "amex"),
@@ -96,7 +99,14 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) that a generator proposes; spans may overlap."""
     out = []
     if "@" in text or "(at)" in text or "[at]" in text:
-        out += [(m.start(), 0, m.end()) for m in AT.finditer(text)]
+        last = 0
+        for m in AT.finditer(text):
+            begin = m.start()
+            while begin > last and text[begin - 1] in LOCAL_CHARS:
+                begin -= 1
+            if begin < m.start() and (host := HOST.match(text, m.end())):
+                last = host.end()
+                out.append((begin, 0, last))
     if ANY_DIGIT.search(text):
         for m in NUMBER.finditer(text):
             n = sum(ch.isdigit() for ch in m[0])
@@ -106,6 +116,26 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     return sorted(set(out))
 
 
+class Taken:
+    """Spans that are taken: some that may overlap, and others that are added and meet none."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]) -> None:
+        spans = sorted(spans)
+        self.starts = [s for s, _, _ in spans]
+        self.ends = list(accumulate((e for _, _, e in spans), max))
+        self.added: list[tuple[int, int]] = []
+
+    def meets(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        if before and self.ends[before - 1] > start:
+            return True
+        k = bisect_left(self.added, (start, end))
+        return (k > 0 and self.added[k - 1][1] > start) or (k < len(self.added) and self.added[k][0] < end)
+
+    def add(self, start: int, end: int) -> None:
+        insort(self.added, (start, end))
+
+
 def around(text: str, start: int, end: int) -> tuple[str, str]:
     return text[max(0, start - CONTEXT) : start].lower(), text[end : end + CONTEXT].lower()
 
@@ -192,8 +222,9 @@ class Formats:
 def examples(text: str, made: Formats) -> Iterator[tuple[str, int, int, int, int]]:
     """(text, start, kind, end, label) to learn from: a document's own candidates, and others put in place of its base spans."""
     base = base_spans(text)
+    taken = Taken(base)
     for s, k, e in candidates(text):
-        if not any(a < e and s < b for a, _, b in base):
+        if not taken.meets(s, e):
             yield text, s, k, e, 0
     for a, kind, b in base:
         before, after = text[max(0, a - 2 * CONTEXT) : a], text[b : b + 2 * CONTEXT]
@@ -277,13 +308,15 @@ def limit(chance: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 def all_spans(text: str, model: dict) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans, and these with the accepted candidates."""
     base = base_spans(text)
-    free = [c for c in candidates(text) if not any(a < c[2] and c[0] < b for a, _, b in base)]
+    taken = Taken(base)
+    free = [c for c in candidates(text) if not taken.meets(c[0], c[2])]
     if not free:
         return base, base
     chance = boosting.probability(model, np.array([features(text, *c, model["cues"]) for c in free]))
     more = list(base)
     for p, c in sorted(zip(-chance, free, strict=True)):
-        if -p >= model["limits"][c[1]] and not any(a < c[2] and c[0] < b for a, _, b in more):
+        if -p >= model["limits"][c[1]] and not taken.meets(c[0], c[2]):
+            taken.add(c[0], c[2])
             more.append(c)
     return base, sorted(more)
 
