@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanfusion.llm.common import codes, filter_slices, map_slices, mix
+from spanfusion.llm.common import codes, filter_slices, map_slices, word_hash
 from spanfusion.llm.language import lower_in_place
 
 # The masks, as places in a run of words.
@@ -28,15 +28,12 @@ BLOCK_BYTES = 16 << 20
 BITS = 22
 
 _ALNUM: list[np.ndarray] = []
-_POWERS: list[np.ndarray] = []
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each lower-cased run of letters and digits, and the number of words of each text."""
     if not _ALNUM:
         _ALNUM.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), dtype=bool, count=0x110000))
-        with np.errstate(over="ignore"):
-            _POWERS.append(np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64)))
     lower = [lower_in_place(t or "") for t in texts]
     c = codes("\n".join([*lower, ""]))
     edge = np.flatnonzero(np.diff(_ALNUM[0][c].view(np.int8), prepend=0, append=0))
@@ -46,12 +43,8 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if not len(begin):
         return np.zeros(0, dtype=np.uint64), count
     size = end - begin
-    run = np.cumsum(size) - size
-    inside = np.arange(run[-1] + size[-1]) - np.repeat(run, size)
-    at = np.repeat(begin, size) + inside
-    with np.errstate(over="ignore"):
-        h = np.add.reduceat((c[at].astype(np.uint64) + np.uint64(1)) * _POWERS[0][inside & 0xFFFF], run)
-    return mix(h), count
+    at = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return word_hash(c[at], size), count
 
 
 def seeds(w: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 Windows of ``width`` words are hashed. A count-min sketch, merged from the
 partitions, overestimates how often each window occurs; a second pass sends on
-only windows estimated repeated and groups these exactly, by 96 bits of hash,
+only windows estimated repeated and groups these by 96 bits of hash, 64 and 32
+from word hashes that do not depend on each other,
 for the smallest document of each. A window that occurs twice is never
 estimated at one, so none is lost.
 """
@@ -19,22 +20,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spanfusion.llm.common import dealt_out, groups, mix, returned, slices, utf8
+from spanfusion.llm.common import dealt_out, groups, mix, returned, slices, utf8, word_hash
 from spanfusion.llm.sketches import GATHER, dealt, gathered, maybe_repeated, pack_places, repeated_cells, rows_table, unpack, unpack_places, width_bits
 
 WIDTH = 13
 SEND = 2_000_000
-_POWERS: list[np.ndarray] = []
 
 
-def words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: list[str | None], lower: bool = False, hashes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of the texts, first and last+1 byte of each word, each word's hash, and where each text's words start.
 
     Words are runs of characters other than space and U+0009 to U+000D;
-    ``lower`` takes A to Z as a to z.
+    ``lower`` takes A to Z as a to z. Of two ``hashes`` each word has two that
+    do not depend on each other; of none it has none.
     """
-    if not _POWERS:
-        _POWERS.append(np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, dtype=np.uint64)))
     parts = [utf8(t) for t in texts]
     raw = np.frombuffer(b"\n".join([*parts, b""]), dtype=np.uint8)
     if lower:
@@ -43,13 +42,9 @@ def words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     begin, end = edge[::2], edge[1::2]
     at = np.searchsorted(begin, np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts]))))
-    if not len(begin):
-        return raw, begin, end, np.zeros(0, dtype=np.uint64), at
-    size = end - begin
-    run = np.cumsum(size) - size
-    place = np.arange(run[-1] + size[-1]) - np.repeat(run, size)
-    h = np.add.reduceat((raw[inside].astype(np.uint64) + np.uint64(1)) * _POWERS[0][place & 0xFFFF], run)
-    return raw, begin, end, mix(h), at
+    own, size = raw[inside], end - begin
+    h = [word_hash(own, size, k) for k in range(hashes)]
+    return raw, begin, end, h[0] if hashes == 1 else np.stack(h) if h else None, at
 
 
 def windows(h: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -131,11 +126,11 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             for piece in slices(batch, 2):
                 ids = np.array(piece.column(0).to_pylist(), dtype=np.int64)
                 marks = np.array(piece.column(1).to_pylist(), dtype=np.int64)
-                _, _, _, h, at = words(piece.column(2).to_pylist())
+                _, _, _, (h, other), at = words(piece.column(2).to_pylist(), hashes=2)
                 w = windows(h, width, 0)
                 keep = np.flatnonzero(inner(at, len(w), width) & maybe_repeated(sketch.value, w, bits))
                 doc = np.searchsorted(at, keep, side="right") - 1
-                found.append((ids[doc], marks[doc], keep - at[doc], w[keep], windows(h, width, 1)[keep] >> np.uint64(32)))
+                found.append((ids[doc], marks[doc], keep - at[doc], w[keep], windows(other, width, 1)[keep] >> np.uint64(32)))
                 size += len(keep)
                 if size >= SEND:
                     yield from send(found)
@@ -170,7 +165,7 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         out = to_arrow_schema(result)
         for batch in returned(batches):
             for piece in slices(batch, 1):
-                raw, begin, end, h, at = words(piece.column(1).to_pylist())
+                raw, begin, end, _, at = words(piece.column(1).to_pylist(), hashes=0)
                 gone = np.zeros(len(begin) + 1, dtype=np.int64)
                 for i, body in enumerate(piece.column(2).to_pylist()):
                     if body:
