@@ -24,8 +24,12 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as Markdown: a page and a chunk for each ten, with markers before some."""
+    return _as_chunks(_lines(spark, sf_dir))
+
+
+def _as_chunks(lines: DataFrame) -> DataFrame:
     mark = F.when(F.col("i") % 7 == 3, "<!--table-->\n").otherwise(F.when(F.col("i") % 11 == 5, "<!--figure-->\n").otherwise(""))
-    lines = _lines(spark, sf_dir).select("doc_id", F.expr("i div 10").cast("int").alias("chunk_idx"), F.struct("i", F.concat(mark, "line").alias("t")).alias("x"))
+    lines = lines.select("doc_id", F.expr("i div 10").cast("int").alias("chunk_idx"), F.struct("i", F.concat(mark, "line").alias("t")).alias("x"))
     parts = F.array_sort(F.collect_list("x"))
     return lines.groupBy("doc_id", "chunk_idx").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("markdown"))
 
@@ -142,6 +146,42 @@ def high_confidence_hits(spark, sf_dir):
     return alignment.high_confidence(hits, ["anchor_id"], 0.98)
 
 
+def _keyed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, i, key, line, body): each line behind a key of its own, which stands three times in each sixth."""
+    key = F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("i").cast("string")), 256)
+    plain = F.replace(F.replace(F.col("line"), F.lit("<!--"), F.lit("<!-")), F.lit("$"), F.lit(""))
+    rows = _lines(spark, sf_dir).select("doc_id", "i", key.alias("key"), plain.alias("line"))
+    again = F.when(F.col("i") % 6 == 5, F.concat(F.lit(" "), "key", F.lit(" and "), "key")).otherwise("")
+    return rows.withColumn("body", F.concat("key", F.lit(" "), "line", again))
+
+
+def _keyed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_chunks(_keyed_lines(spark, sf_dir).select("doc_id", "i", F.col("body").alias("line")))
+
+
+def _keyed_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors of the keyed lines: as they are with some of the line, with a character missing, with three characters changed, in no text at all, and in three places."""
+    key, k = F.col("key"), F.col("i") % 6
+    changed = F.concat(key.substr(1, 9), F.lit("z"), key.substr(11, 19), F.lit("z"), key.substr(31, 19), F.lit("z"), key.substr(51, 14))
+    text = F.when(k == 2, F.concat(key.substr(1, 32), key.substr(34, 31))).when(k == 3, changed).when(k == 4, F.sha2(key, 256)).when(k == 5, key)
+    text = text.otherwise(F.concat(key, F.lit(" "), F.substring("line", 1, 30)))
+    rows = _keyed_lines(spark, sf_dir).withColumn("c", F.explode(F.sequence(F.lit(0), F.when(k == 5, 2).otherwise(0))))
+    top = (F.col("i") % 10 * 100 + F.col("c")).cast("int")
+    box = F.struct(top.alias("top"), F.lit(50).alias("left"), (top + 80).alias("bottom"), F.lit(950).alias("right"))
+    return rows.select("doc_id", (F.col("doc_id") * 10_000_000 + F.col("i") * 10 + F.col("c")).alias("anchor_id"), text.alias("text"), F.expr("i div 10").cast("int").alias("page"), F.array(box).alias("boxes"))
+
+
+def align_keyed_lines(spark, sf_dir):
+    """Where the anchors of keyed lines stand: in one round, in later ones, with gaps, with changes, one after the other from the last place on, or nowhere."""
+    made = markdown.assemble(markdown.renumber_markers(_keyed_chunks(spark, sf_dir)))
+    return alignment.align(made, _keyed_anchors(spark, sf_dir))
+
+
+def process_keyed_documents(spark, sf_dir):
+    """Chunks and anchors of keyed lines to Markdown, annotated Markdown and the share covered."""
+    return process(_keyed_chunks(spark, sf_dir), _keyed_anchors(spark, sf_dir))
+
+
 def align_documents(spark, sf_dir):
     """Markdown of each document with the places of its scanned lines, and the share that these cover."""
     return process(_chunks(spark, sf_dir), _anchors(spark, sf_dir))
@@ -166,7 +206,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interval_union, interval_intersect, interval_subtract, interval_predicates, normalize_text, renumber_markers, assemble_markdown, parse_segments,
-        annotate_lines, strip_lines, validation_map, span_coverage, sniff_files, file_chunks, high_confidence_hits, align_spans, align_documents, resolve_quotes,
+        annotate_lines, strip_lines, validation_map, span_coverage, sniff_files, file_chunks, high_confidence_hits, align_keyed_lines, process_keyed_documents, align_spans, align_documents, resolve_quotes,
     )
 }
 
@@ -205,11 +245,36 @@ tags AS (
   UNION ALL SELECT doc_id, e, 0, e - s, -ord, i, '</span>' FROM boxed),
 ranked AS (SELECT *, row_number() OVER w AS r, lag(pos, 1, 0) OVER w AS was, sum(2 * opens - 1) OVER w + 1 - opens AS level FROM tags WINDOW w AS (PARTITION BY doc_id ORDER BY pos, opens, k1, k2 ROWS UNBOUNDED PRECEDING))"""
 
+_KEYED = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+keyed AS (
+  SELECT doc_id, i, sha256(doc_id || ':' || i) AS key, replace(replace(raw, '<!--', '<!-'), '$', '') AS line, CASE WHEN i % 7 = 3 THEN 'table' WHEN i % 11 = 5 THEN 'figure' END AS kind FROM lines),
+marked AS (
+  SELECT *, CASE WHEN kind IS NULL THEN '' ELSE '<!--' || kind || ': ' || row_number() OVER (PARTITION BY doc_id, kind ORDER BY i) || '-->' || chr(10) END AS mark,
+    key || ' ' || line || CASE WHEN i % 6 = 5 THEN ' ' || key || ' and ' || key ELSE '' END AS body, CASE WHEN i % 10 = 9 THEN 15 ELSE 2 END AS gap
+  FROM keyed),
+placed AS (SELECT *, sum(length(mark) + length(body) + gap) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - length(body) - gap AS pos FROM marked),
+found AS (
+  SELECT doc_id, i, 0 AS c, pos AS s, pos + CASE WHEN i % 6 < 2 THEN length(regexp_replace(key || ' ' || substr(line, 1, 30), '[^a-zA-Z0-9' || chr(8490) || ']+$', '')) ELSE 64 END AS e FROM placed WHERE i % 6 < 4
+  UNION ALL SELECT doc_id, i, c, pos + CASE c WHEN 0 THEN length(body) - 64 WHEN 1 THEN length(body) - 133 ELSE 0 END, pos + CASE c WHEN 0 THEN length(body) WHEN 1 THEN length(body) - 69 ELSE 64 END
+  FROM placed, range(0, 3) AS copies(c) WHERE i % 6 = 5)"""
+
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(8490), 'abcdefghijklmnopqrstuvwxyzk')"
 _BARE_OF_SPACE = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 _BOUNDARY = rf"[.!?][{markdown.SUPERSCRIPTS}]*(?:\s+\d[\d,\-]*)?\s+"
 
 ORACLES = {
+    "align_keyed_lines": f"""WITH {_KEYED}
+SELECT doc_id, doc_id * 10000000 + i * 10 + c AS anchor_id, CAST(s AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end", CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s DESC) - 1 AS INTEGER) AS ord FROM found""",
+    "process_keyed_documents": f"""WITH {_KEYED},
+made AS (
+  SELECT doc_id, string_agg(CASE WHEN i > 0 THEN CASE WHEN i % 10 = 0 THEN chr(10) || chr(10) || '<!--page-->' || chr(10) || chr(10) ELSE chr(10) || chr(10) END ELSE '' END || mark || body, '' ORDER BY i) AS markdown
+  FROM marked GROUP BY doc_id),
+cut AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS was FROM found),
+tagged AS (
+  SELECT doc_id, max(e) AS last, sum(e - s) AS n, string_agg(substr(markdown, CAST(was + 1 AS BIGINT), CAST(s - was AS BIGINT)) || '<span data-bbox="' || (i % 10 * 100 + c) || ',50,' || (i % 10 * 100 + c + 80) || ',950" data-page="' || (i // 10) || '">'
+    || substr(markdown, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) || '</span>', '' ORDER BY s) AS head
+  FROM cut JOIN made USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, markdown, head || substr(markdown, CAST(last + 1 AS BIGINT)) AS annotated, CAST(n AS DOUBLE) / length(markdown) AS coverage FROM made JOIN tagged USING (doc_id)""",
     "interval_union": _SWEEP.format(ranges=_RANGES.strip(), holds="a > 0 OR b > 0"),
     "interval_intersect": _SWEEP.format(ranges=_RANGES.strip(), holds="a > 0 AND b > 0"),
     "interval_subtract": _SWEEP.format(ranges=_RANGES.strip(), holds="a > 0 AND NOT b > 0"),
