@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from itertools import groupby
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanfusion import tables
 from spanfusion.functions.text import normal_text
 from spanfusion.operators import align as alignment
 from spanfusion.operators import intervals, markdown, resolve, spans
+from spanfusion.plans import providers
 from spanfusion.plans.process import process
+from spanfusion.sources import nested
 from spanfusion.sources.files import chunks, mime_of_content
 
-STRETCH = 4096
-
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,17 +79,7 @@ def interval_subtract(spark, sf_dir):
 
 def interval_predicates(spark, sf_dir):
     """Counts, for each user, of pairs of an even and an odd range that hold each predicate."""
-    a, b = _ranges(spark, sf_dir, 0), _ranges(spark, sf_dir, 1).select("user_id", F.col("s").alias("s2"), F.col("e").alias("e2"))
-    # Each predicate needs an overlap, so ranges meet by the stretches of the axis that they touch, each pair in the first that both do.
-    at = lambda s, e: F.explode(F.sequence(F.expr(f"floor({s} / {STRETCH})"), F.expr(f"floor(({e} - 1) / {STRETCH})"))).alias("at")
-    met = a.select("*", at("s", "e")).join(b.select("*", at("s2", "e2")), ["user_id", "at"]).where(F.col("at") == F.expr(f"floor(greatest(s, s2) / {STRETCH})"))
-    held = met.groupBy("user_id").agg(
-        F.count_if(intervals.overlaps(F.col("s"), F.col("e"), F.col("s2"), F.col("e2"))).alias("n_overlaps"),
-        F.count_if(intervals.contained(F.col("s"), F.col("e"), F.col("s2"), F.col("e2"))).alias("n_contained"),
-        F.count_if(intervals.in_range(F.col("s"), F.col("s2"), F.col("e2"))).alias("n_in_range"),
-    )
-    both = a.select("user_id").distinct().join(b.select("user_id").distinct(), "user_id")
-    return both.join(held, "user_id", "left").na.fill(0)
+    return intervals.pair_counts(_ranges(spark, sf_dir, 0), _ranges(spark, sf_dir, 1), ["user_id"])
 
 
 def normalize_text(spark, sf_dir):
@@ -182,6 +176,82 @@ def process_keyed_documents(spark, sf_dir):
     return process(_keyed_chunks(spark, sf_dir), _keyed_anchors(spark, sf_dir))
 
 
+def _refused(row: dict) -> str:
+    """A provider that gives a digest of a chunk and refuses some."""
+    if (row["doc_id"] + row["chunk_idx"]) % 9 == 4:
+        raise ValueError("refused")
+    return hashlib.sha256(row["markdown"].encode()).hexdigest()
+
+
+def provider_answers(spark, sf_dir):
+    """What a provider says of each chunk, refusals as rows."""
+    return providers.called(_chunks(spark, sf_dir), _refused, "string", retries=1)
+
+
+def provider_problems(spark, sf_dir):
+    """The chunks whose answers are missing, doubled or refused, and answers that nobody asked for."""
+    given = _chunks(spark, sf_dir)
+    k = F.pmod(F.col("doc_id") * 3 + F.col("chunk_idx"), F.lit(11))
+    told = tables.stored(providers.called(given, _refused, "string", retries=0))
+    more = told.where(k == 5).unionByName(told.where("chunk_idx = 0 and doc_id % 13 = 2").withColumn("chunk_idx", F.col("chunk_idx") - 1))
+    return providers.problems(given, told.where(k != 3).unionByName(more))
+
+
+def _word_boxes(row: dict) -> list[dict]:
+    """A box for each word of a chunk, twenty units a line and ten a word."""
+    lines = enumerate(row["markdown"].split("\n"))
+    return [{"page": row["chunk_idx"], "text": w, "top": 20 * i, "left": 10 * k, "bottom": 20 * i + 18, "right": 10 * k + 9} for i, line in lines for k, w in enumerate(x for x in line.split(" ") if x)]
+
+
+def _lines_of_boxes(boxes: list[dict], text: str) -> list[dict]:
+    """An anchor for each line of boxes that stands in the text."""
+    out = []
+    for (page, top), own in groupby(boxes, key=lambda b: (b["page"], b["top"])):
+        own = list(own)
+        line = " ".join(b["text"] for b in own)
+        if line in text:
+            out.append({"text": line, "page": page, "boxes": [{"top": top, "left": min(b["left"] for b in own), "bottom": max(b["bottom"] for b in own), "right": max(b["right"] for b in own)}]})
+    return out
+
+
+def two_phase_anchors(spark, sf_dir):
+    """Anchors that a two-phase provider makes of the words of ten lines at a time, and of the whole text."""
+    lines = _lines(spark, sf_dir).select("doc_id", F.expr("i div 10").cast("int").alias("chunk_idx"), F.struct("i", "line").alias("x"))
+    given = lines.groupBy("doc_id", "chunk_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("markdown"))
+    provider = providers.TwoPhase(_word_boxes, _lines_of_boxes)
+    boxes = tables.stored(providers.called(given, provider.process_chunk, f"array<{providers.CHAR_BOX}>"))
+    found = providers.finalized(providers.sound(given, boxes), _read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("markdown")), provider)
+    box = F.col("boxes")[0]
+    return found.select("doc_id", "anchor_id", "text", "page", *(box[c].alias(c) for c in ("top", "left", "bottom", "right")))
+
+
+def json_chunk_lists(spark, sf_dir):
+    """Chunks of JSON lists made of the lines of each document, some with a missing text and some cut off, and why others are left out."""
+    lines = F.split(F.col("text"), "\n", -1)
+    k = F.col("doc_id") % 5
+    holed = F.concat(F.slice(lines, 1, 1), F.array(F.lit(None).cast("string")), F.slice(lines, 2, F.size(lines)))
+    body = F.to_json(F.when(k == 3, holed).otherwise(lines))
+    made = _read(spark, sf_dir, "documents").where("text is not null").withColumn("body", body)
+    cut = F.when(k == 4, F.expr("substring(body, 1, length(body) - 1)")).otherwise(F.col("body"))
+    found, left = nested.chunk_lists(made.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), cut.alias("body")))
+    return found.select("path", "chunk_idx", "markdown", F.lit(None).cast("string").alias("problem")).unionByName(left.withColumn("markdown", F.lit(None).cast("string")))
+
+
+def resolve_fuzzy_quotes(spark, sf_dir):
+    """A quote for each document, looked for in its keyed lines: one character short, of two lines apart with other words between, or hardly there."""
+    rows = _keyed_lines(spark, sf_dir).withColumn("body", F.concat("body", F.lit(" 0000")))
+    upto = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("end", (F.sum(F.length("body") + 1).over(upto) - 1).cast("int")).withColumn("start", F.col("end") - F.length("body"))
+    texts = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "body"))), lambda x: x["body"]), "\n").alias("markdown"))
+    box = F.struct(F.col("i").cast("int").alias("top"), F.lit(50).alias("left"), (F.col("i") + 1).cast("int").alias("bottom"), F.lit(950).alias("right"))
+    boxed = placed.select("doc_id", F.col("i").alias("ord"), "start", "end", F.expr("i div 10").cast("int").alias("page"), F.array(box).alias("boxes"))
+    other = F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), (F.col("i") + 1).cast("string")), 256)
+    short = F.concat(F.col("key").substr(1, 32), F.col("key").substr(34, 31))
+    quote = F.when(F.col("doc_id") % 3 == 0, short).when(F.col("doc_id") % 3 == 1, F.concat("key", F.lit(f" {'q' * 12} "), other)).otherwise(F.concat(F.col("key").substr(1, 20), F.lit(" " + "q" * 70)))
+    found = resolve.resolve(spans.annotate(texts, boxed), rows.where("i = 0").select("doc_id", quote.alias("quote")))
+    return found.select("doc_id", "quote", "status", F.array_join(F.transform("locations", lambda x: F.concat_ws(" ", x["page"], x["box"]["top"])), ";").alias("locations"))
+
+
 def align_documents(spark, sf_dir):
     """Markdown of each document with the places of its scanned lines, and the share that these cover."""
     return process(_chunks(spark, sf_dir), _anchors(spark, sf_dir))
@@ -206,7 +276,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interval_union, interval_intersect, interval_subtract, interval_predicates, normalize_text, renumber_markers, assemble_markdown, parse_segments,
-        annotate_lines, strip_lines, validation_map, span_coverage, sniff_files, file_chunks, high_confidence_hits, align_keyed_lines, process_keyed_documents, align_spans, align_documents, resolve_quotes,
+        annotate_lines, strip_lines, validation_map, span_coverage, sniff_files, file_chunks, high_confidence_hits, align_keyed_lines, process_keyed_documents, provider_answers, provider_problems, two_phase_anchors, json_chunk_lists, resolve_fuzzy_quotes, align_spans, align_documents, resolve_quotes,
     )
 }
 
@@ -262,7 +332,37 @@ _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(8490), 'abcdefghijklmn
 _BARE_OF_SPACE = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 _BOUNDARY = rf"[.!?][{markdown.SUPERSCRIPTS}]*(?:\s+\d[\d,\-]*)?\s+"
 
+_CHUNKS = f"""{_LINES},
+chunks AS (SELECT doc_id, CAST(i // 10 AS INTEGER) AS chunk_idx, string_agg({_BARE}, chr(10) || chr(10) ORDER BY i) AS t FROM lines GROUP BY doc_id, i // 10)"""
+
 ORACLES = {
+    "provider_answers": f"""WITH {_CHUNKS}
+SELECT doc_id, chunk_idx, CASE WHEN (doc_id + chunk_idx) % 9 <> 4 THEN sha256(t) END AS answer, CASE WHEN (doc_id + chunk_idx) % 9 = 4 THEN 'ValueError: refused' END AS error,
+  CASE WHEN (doc_id + chunk_idx) % 9 = 4 THEN 2 ELSE 1 END AS attempts
+FROM chunks""",
+    "provider_problems": f"""WITH {_CHUNKS},
+told AS (
+  SELECT doc_id, chunk_idx, CASE (doc_id * 3 + chunk_idx) % 11 WHEN 3 THEN 'missing' WHEN 5 THEN 'doubled' ELSE CASE WHEN (doc_id + chunk_idx) % 9 = 4 THEN 'failed' END END AS problem,
+    CASE WHEN (doc_id * 3 + chunk_idx) % 11 <> 3 AND (doc_id + chunk_idx) % 9 = 4 THEN 'ValueError: refused' END AS error
+  FROM chunks
+  UNION ALL SELECT doc_id, -1, 'not asked for', CASE WHEN doc_id % 9 = 4 THEN 'ValueError: refused' END FROM chunks WHERE chunk_idx = 0 AND doc_id % 13 = 2)
+SELECT doc_id, chunk_idx, problem, error FROM told WHERE problem IS NOT NULL""",
+    "two_phase_anchors": f"""WITH {_LINES},
+split AS (SELECT doc_id, i, regexp_extract_all(line, '[^ ]+') AS w FROM lines),
+found AS (SELECT s.doc_id, i, array_to_string(w, ' ') AS line, len(w) AS n FROM split s JOIN documents d USING (doc_id) WHERE len(w) > 0 AND contains(text, array_to_string(w, ' ')))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS anchor_id, line AS text, CAST(i // 10 AS INTEGER) AS page, CAST(i % 10 * 20 AS INTEGER) AS top, 0 AS "left",
+  CAST(i % 10 * 20 + 18 AS INTEGER) AS bottom, CAST(10 * n - 1 AS INTEGER) AS "right"
+FROM found""",
+    "json_chunk_lists": f"""WITH {_LINES}
+SELECT 'f' || doc_id AS path, CAST(i + CASE WHEN doc_id % 5 = 3 AND i > 0 THEN 1 ELSE 0 END AS INTEGER) AS chunk_idx, line AS markdown, NULL::VARCHAR AS problem FROM lines WHERE doc_id % 5 <> 4
+UNION ALL SELECT 'f' || doc_id, CASE WHEN doc_id % 5 = 3 THEN 1 END, NULL, CASE WHEN doc_id % 5 = 3 THEN 'no text' ELSE 'no list of texts' END FROM documents WHERE text IS NOT NULL AND doc_id % 5 > 2""",
+    "resolve_fuzzy_quotes": f"""WITH {_LINES},
+sizes AS (SELECT doc_id, max(i) AS last FROM lines GROUP BY doc_id),
+asked AS (SELECT doc_id, last, doc_id % 3 AS k, sha256(doc_id || ':0') AS a, sha256(doc_id || ':1') AS b FROM sizes)
+SELECT doc_id, CASE k WHEN 0 THEN substr(a, 1, 32) || substr(a, 34) WHEN 1 THEN a || ' qqqqqqqqqqqq ' || b ELSE substr(a, 1, 20) || ' ' || repeat('q', 70) END AS quote,
+  CASE k WHEN 0 THEN 'found' WHEN 1 THEN CASE WHEN last = 0 THEN 'doubtful' ELSE 'found' END ELSE 'none' END AS status,
+  CASE k WHEN 0 THEN '0 0' WHEN 1 THEN CASE WHEN last = 0 THEN '0 0' ELSE '0 0;0 1' END ELSE '' END AS locations
+FROM asked""",
     "align_keyed_lines": f"""WITH {_KEYED}
 SELECT doc_id, doc_id * 10000000 + i * 10 + c AS anchor_id, CAST(s AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end", CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s DESC) - 1 AS INTEGER) AS ord FROM found""",
     "process_keyed_documents": f"""WITH {_KEYED},
