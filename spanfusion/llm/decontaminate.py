@@ -9,6 +9,7 @@ place by place, which counts as an overlap if enough of the item is there.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from itertools import combinations
 
 import numpy as np
@@ -26,6 +27,7 @@ MIN_RUN = 13
 DRIFT = 4
 BLOCK_BYTES = 16 << 20
 BITS = 22
+HELD = 1 << 21  # hits that are held at a time
 
 _ALNUM: list[np.ndarray] = []
 
@@ -87,14 +89,14 @@ def index(items: list[tuple[int, str | None]], share: float = MIN_SHARE) -> dict
     return {"ids": [i for i, _ in items], "words": words, "tables": tables}
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, diagonals: list[int], share: float, run: int) -> tuple[int, int, int] | None:
-    """Item words found on diagonals near each other, first and last+1 word in the document; None if too few."""
+def overlap(doc: np.ndarray, item: np.ndarray, diagonals: list[int], share: float, run: int, starts: list[int] | None = None) -> tuple[int, int, int] | None:
+    """Item words found on diagonals near each other, first and last+1 word in the document; None if too few. With ``starts`` only stretches that begin on one of these are looked at."""
     best = None
     diagonals = sorted(diagonals)
-    for d in diagonals:
+    for d in diagonals if starts is None else starts:
         found = np.zeros(len(item), dtype=bool)
         longest, lo, hi = 0, len(doc), 0
-        for near in (x for x in diagonals if d <= x <= d + DRIFT):
+        for near in diagonals[bisect_left(diagonals, d) : bisect_right(diagonals, d + DRIFT)]:
             a, b = max(0, -near), min(len(item), len(doc) - near)
             same = item[a:b] == doc[near + a : near + b]
             if near == d:
@@ -109,6 +111,12 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonals: list[int], share: floa
     return best
 
 
+def _stretches(n: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of ``n`` whose numbers add up to about HELD."""
+    cuts = [0, *(np.searchsorted(np.cumsum(n), np.arange(HELD, int(n.sum()), HELD), "left") + 1).tolist(), len(n)]
+    return [(x, y) for x, y in zip(cuts, cuts[1:], strict=False) if x < y]
+
+
 def _dense(same: np.ndarray, share: float) -> int:
     """Length of the longest stretch of which at least ``share`` is true."""
     total = np.concatenate(([0.0], np.cumsum(same - share)))
@@ -173,26 +181,76 @@ class Scanner:
     def __init__(self, ix: dict, share: float, run: int) -> None:
         self.ids, self.words, self.share, self.run = ix["ids"], ix["words"], share, run
         self.tables = {m: (h, i, k, np.unpackbits(b).view(bool)) for m, (h, i, k, b) in ix["tables"].items()}
+        self.size = np.array([len(x) for x in self.words], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
 
     def __call__(self, texts: list[str | None]) -> list[tuple]:
         """(text, item, item's words found, first, last+1 word), by text and item."""
         w, count = word_hashes(texts)
         at = np.cumsum(count) - count
-        hits: dict[tuple[int, int], set[int]] = {}
-        for mask, (h, item, place, bits) in self.tables.items():
-            s = seeds(w, mask)
-            near = np.flatnonzero(bits[s >> np.uint64(64 - BITS)])
-            left, right = np.searchsorted(h, s[near], "left"), np.searchsorted(h, s[near], "right")
-            hit = left < right
-            for p, a, b in zip(near[hit].tolist(), left[hit].tolist(), right[hit].tolist(), strict=True):
-                d = int(np.searchsorted(at, p, side="right")) - 1
-                if p + mask[-1] < at[d] + count[d]:
-                    for x in range(a, b):
-                        hits.setdefault((d, int(item[x])), set()).add(p - int(at[d]) - int(place[x]))
+        hits = [self._hits(w, at, count, mask) for mask in self.tables]
+        parts = max(1, -(-sum(int(n.sum()) for _, _, n, _ in hits) // HELD))
+        out = []
+        for part in range(parts):
+            out += self._weighed(w, at, count, self._diagonals(hits, at, part, parts))
+        return sorted(out)
+
+    def _hits(self, w: np.ndarray, at: np.ndarray, count: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[int, ...]]:
+        """Places whose seed is one of the benchmark's: place, first entry and number of entries in the mask's table."""
+        h, _, _, bits = self.tables[mask]
+        s = seeds(w, mask)
+        near = np.flatnonzero(bits[s >> np.uint64(64 - BITS)])
+        left, right = np.searchsorted(h, s[near], "left"), np.searchsorted(h, s[near], "right")
+        d = np.searchsorted(at, near, side="right") - 1
+        hit = (left < right) & (near + mask[-1] < at[d] + count[d])
+        return near[hit], left[hit], (right - left)[hit], mask
+
+    def _diagonals(self, hits: list[tuple], at: np.ndarray, part: int, parts: int) -> np.ndarray:
+        """(text, item, diagonal) of the hits of one part of the items, distinct and in order."""
+        longest = int(self.size.max()) if len(self.size) else 0
+        wide = longest + (int(max(p.max() for p, *_ in hits if len(p))) if any(len(p) for p, *_ in hits) else 0) + 1
+        found = [np.zeros(0, np.int64)]
+        for p, a, n, mask in hits:
+            _, item, place, _ = self.tables[mask]
+            for x, y in _stretches(n):
+                each = n[x:y]
+                k = np.arange(int(each.sum())) + np.repeat(a[x:y] - (np.cumsum(each) - each), each)
+                spot = np.repeat(p[x:y], each)
+                own = item[k] % parts == part
+                k, spot = k[own], spot[own]
+                d = np.searchsorted(at, spot, side="right") - 1
+                found.append(np.unique((d * len(self.words) + item[k]) * wide + (spot - at[d] - place[k] + longest)))
+        pair, diagonal = np.divmod(np.unique(np.concatenate(found)), wide)
+        return np.stack([pair // len(self.words), pair % len(self.words), diagonal - longest]) if len(pair) else np.zeros((3, 0), np.int64)
+
+    def _weighed(self, w: np.ndarray, at: np.ndarray, count: np.ndarray, keys: np.ndarray) -> list[tuple]:
+        """The overlaps among (text, item, diagonal); those whose words on near diagonals are too few are not looked at closer."""
+        d, i, diagonal = keys
+        if not len(d):
+            return []
+        lo, hi = np.maximum(0, -diagonal), np.minimum(self.size[i], count[d] - diagonal)
+        same = np.zeros(len(d), np.int64)
+        for x, y in _stretches(hi - lo):
+            n = (hi - lo)[x:y]
+            k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - lo[x:y], n)
+            hit = w[np.repeat((at[d] + diagonal)[x:y], n) + k] == self.flat[np.repeat(self.start[i[x:y]], n) + k]
+            sums = np.concatenate(([0], np.cumsum(hit)))
+            same[x:y] = sums[np.cumsum(n)] - sums[np.cumsum(n) - n]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1])
+        group = np.cumsum(new) - 1
+        line = group * (int(diagonal.max() - diagonal.min()) + DRIFT + 2) + diagonal - diagonal.min()
+        upto = np.searchsorted(line, line + DRIFT, "right")
+        sums = np.concatenate(([0], np.cumsum(same)))
+        good = (sums[upto] - sums[:-1] >= self.share * self.size[i] - 1e-9) | (same >= self.share * self.run - 1e-9)
         out = []
-        for (d, i), diagonals in sorted(hits.items()):
-            if best := overlap(w[at[d] : at[d] + count[d]], self.words[i], list(diagonals), self.share, self.run):
-                out.append((d, i, *best))
+        first = np.flatnonzero(new)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(d)], strict=True):
+            if good[a:b].any():
+                own, item = int(d[a]), int(i[a])
+                if best := overlap(w[at[own] : at[own] + count[own]], self.words[item], diagonal[a:b].tolist(), self.share, self.run, diagonal[a:b][good[a:b]].tolist()):
+                    out.append((own, item, *best))
         return out
 
 
