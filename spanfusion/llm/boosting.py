@@ -52,25 +52,27 @@ def probability(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, seed: int = 7) -> dict:
-    """Trees from two thirds of the rows; slope and shift of the chances (Platt's scaling) from the others, whose places are in ``held``."""
+    """Trees from two thirds of the rows; slope and shift of the chances (Platt's scaling) from a sixth; ``held`` has the places of the last sixth, which decides nothing here."""
     weight = np.ones(len(y)) if weight is None else np.asarray(weight, dtype=float)
     if not len(y) or y.min() == y.max():
         base = 6.0 if len(y) and y[0] else -6.0
         return {"base": base, "trees": [], "slope": 1.0, "shift": 0.0, "held": np.zeros(0, np.int64)}
-    held = np.random.default_rng(seed).random(len(y)) < 1 / 3
-    if held.all() or len(set(y[~held])) < 2 or len(set(y[held])) < 2:
-        held[:] = False
+    draw = np.random.default_rng(seed).random(len(y))
+    held, last = draw < 1 / 3, draw < 1 / 6
+    if held.all() or len(set(y[~held])) < 2 or len(set(y[held & ~last])) < 2 or len(set(y[last])) < 2:
+        held[:] = last[:] = False
     xs, ys, ws = x[~held], y[~held], weight[~held]
     rate = np.clip(np.average(ys, weights=ws), 1e-3, 1 - 1e-3)
-    model = {"base": float(np.log(rate / (1 - rate))), "trees": [], "slope": 1.0, "shift": 0.0, "held": np.flatnonzero(held)}
+    model = {"base": float(np.log(rate / (1 - rate))), "trees": [], "slope": 1.0, "shift": 0.0, "held": np.flatnonzero(last)}
     cuts = [np.unique(np.quantile(xs[:, f], np.linspace(0, 1, BINS + 1)[:-1], method="lower")) for f in range(x.shape[1])]
     m = np.full(len(ys), model["base"])
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-m))
         model["trees"].append(_grow(xs, ws * (p - ys), ws * p * (1 - p), cuts, DEPTH))
         m += RATE * _apply(model["trees"][-1], xs)
-    if held.any():
-        a, b, mh, yh, wh = 1.0, 0.0, margin(model, x[held]), y[held], weight[held]
+    told = held & ~last
+    if told.any():
+        a, b, mh, yh, wh = 1.0, 0.0, margin(model, x[told]), y[told], weight[told]
         yes, no = (wh * yh).sum(), (wh * (1 - yh)).sum()
         soft = np.where(yh == 1, (yes + 1) / (yes + 2), 1 / (no + 2))
         for _ in range(50):

@@ -5,8 +5,10 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import math
 import os
 import random
+import time
 import re
 import zlib
 
@@ -390,6 +392,27 @@ def test_pii_finds_base_spans_written_another_way(spark):
     assert total > 40 and hit >= 0.9 * total and false <= 0.1 * others
 
 
+#: Ways of writing that the trees of the next test never see.
+UNSEEN = frozenset({" [at] ", "/", "{}.{}.{}", "({}) {}-{}"})
+
+
+def test_pii_finds_ways_of_writing_that_it_did_not_learn(spark):
+    big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model, made = pii.train(big, left_out=UNSEEN), pii.Formats(78, only=UNSEEN)
+    hit = total = false = others = 0
+    for row in big.select("text").where("text is not null").collect():
+        for a, k, b in pii.base_spans(row.text):
+            before, after = row.text[max(0, a - 60) : a], row.text[b : b + 60]
+            for span, label in ((made.variant(row.text[a:b], k), 1), (made.other(), 0)):
+                if span is not None:
+                    s, e = len(before), len(before) + len(span)
+                    base, every = pii.all_spans(f"{before}{span}{after}", model)
+                    found = any(2 * (min(e, y) - max(s, x)) >= e - s for x, _, y in (every if label else set(every) - set(base)))
+                    hit, total, false, others = hit + found * label, total + label, false + found * (1 - label), others + 1 - label
+    print(f"\nunseen ways: {hit} of {total} found, {false} of {others} other numbers taken")
+    assert total > 200 and hit >= 0.7 * total and false <= 0.1 * others
+
+
 def test_secrets(spark, docs, none):
     found = secrets.keywords()
     assign = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -426,6 +449,47 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.overlaps(none, bench).count() == 0 and decontaminate.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_equals_plain_seeds():
+    r = random.Random(5)
+    for _ in range(120):
+        words = [f"w{i}" for i in range(r.choice([60, 400]))]
+        items = [(k, " ".join(r.choice(words) for _ in range(r.randint(8, 40)))) for k in range(4)]
+        text = [r.choice(words) for _ in range(r.randint(0, 20))]
+        for k in r.sample(range(4), 2):
+            own = items[k][1].split()
+            for x in r.sample(range(len(own)), r.randint(0, len(own) // 3)):
+                own[x] = f"other{r.randrange(99)}"
+            text += own + [r.choice(words) for _ in range(r.randint(0, 20))]
+        for held in (decontaminate.HELD, 20):
+            decontaminate.HELD, kept = held, decontaminate.HELD
+            scan = decontaminate.Scanner(decontaminate.index(items), 0.8, 13)
+            got = {i for _, i, *_ in scan([" ".join(text)])}
+            decontaminate.HELD = kept
+            w, _ = decontaminate.word_hashes([" ".join(text)])
+            for i, own in enumerate(scan.words):
+                every = range(1 - len(own), len(w))
+                same = {d: [own[k] == w[d + k] if 0 <= d + k < len(w) else False for k in range(len(own))] for d in every}
+                seeded = [d for d in every if any(all(same[d][k + o] for o in m) for m in decontaminate.MASKS for k in range(len(own) - m[-1]))]
+                assert (i in got) == (decontaminate.overlap(w, own, seeded, 0.8, 13) is not None)
+                assert i in got or all(decontaminate.overlap(w, own, [d], 0.8, 13) is None for d in every)  # on one diagonal nothing is missed
+
+
+def test_masks_meet_every_dense_stretch():
+    for n in range(8, 18):
+        most = n - math.ceil(0.8 * n - 1e-9)
+        for miss in itertools.combinations(range(n), most):
+            bits = ((1 << n) - 1) ^ sum(1 << x for x in miss)
+            assert any(bits >> s & (m := sum(1 << o for o in mask)) == m for mask in decontaminate.MASKS for s in range(n - mask[-1])), (n, miss)
+
+
+def test_items_with_one_beginning_take_no_product():
+    items = [(k, f"what is the answer number {k} of " + " ".join(f"x{k}y{j}" for j in range(12))) for k in range(3000)]
+    scan = decontaminate.Scanner(decontaminate.index(items), 0.8, 13)
+    began = time.process_time()
+    assert [i for _, i, *_ in scan([" ".join(["what is the answer number"] * 112) + " " + items[7][1]])] == [7]
+    assert time.process_time() - began < 3
+
+
 def test_decontaminate_short_items(spark):
     items = [[f"item{n}word{k}" for k in range(n)] for n in range(1, 9)]
     bench = spark.createDataFrame([(len(w), " ".join(w)) for w in items], "item_id long, text string")
