@@ -128,8 +128,9 @@ def file_chunks(spark, sf_dir):
     """Chunks of files made up of each document: images and PDF files, of 512 bytes a page and three pages a chunk, named with and without extension."""
     k = F.col("doc_id") % 4
     name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, ("", ".PDF", ".bmp", ".png"))), (k + 1).cast("int")))
-    body = F.when(k == 0, F.concat(F.unhex(F.lit("255044462D")), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary"))
-    made = _read(spark, sf_dir, "documents").where("text is not null and text <> ''").select(name.alias("path"), body.alias("content"))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    body = F.when(k == 0, F.concat(F.unhex(F.lit("255044462D")), text)).otherwise(text)
+    made = _read(spark, sf_dir, "documents").select(name.alias("path"), body.alias("content"))
     found = chunks(made, 3, lambda c: -(-len(c) // 512), lambda c, s, e: c[512 * s : 512 * e])
     return found.select("path", "document_sha256", "chunk_idx", "start_page", "end_page", F.sha2("data", 256).alias("data_sha256"), "mime_type")
 
@@ -458,10 +459,10 @@ SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/
 FROM made""",
     "file_chunks": """WITH made AS (
   SELECT doc_id % 4 AS k, 'f' || doc_id || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '.PDF' WHEN 2 THEN '.bmp' ELSE '.png' END AS path,
-    CASE doc_id % 4 WHEN 0 THEN '255044462D' ELSE '' END || hex(encode(text)) AS x
-  FROM documents WHERE text IS NOT NULL AND text <> ''),
+    CASE doc_id % 4 WHEN 0 THEN '255044462D' ELSE '' END || hex(encode(coalesce(text, ''))) AS x
+  FROM documents),
 sized AS (SELECT *, CASE WHEN k < 2 THEN (len(x) // 2 + 511) // 512 ELSE 1 END AS n FROM made),
-parts AS (SELECT *, unnest(range(0, n, 3)) AS s FROM sized)
+parts AS (SELECT *, unnest(range(0, greatest(n, 1), 3)) AS s FROM sized)
 SELECT path, sha256(unhex(x)) AS document_sha256, CAST(s // 3 AS INTEGER) AS chunk_idx, CAST(s AS INTEGER) AS start_page, CAST(least(s + 3, n) AS INTEGER) AS end_page,
   sha256(unhex(CASE WHEN k < 2 THEN substr(x, 1024 * s + 1, 1024 * (least(s + 3, n) - s)) ELSE x END)) AS data_sha256,
   CASE WHEN k < 2 THEN 'application/pdf' WHEN k = 2 THEN 'image/bmp' ELSE 'image/png' END AS mime_type
