@@ -191,16 +191,16 @@ def words(bare: bytes, size: int = SLICE_BYTES) -> Iterator[list[bytes]]:
 # The largest primes below 2**31, and a base for each, chosen at random once.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 BASES = (1103527591, 1748302987, 812346211, 1390116479)
-_POWERS: dict[int, np.ndarray] = {}
+_POWERS: dict[int, np.ndarray] = {}  # 32 bits are enough for each
 
 
 def powers(k: int, n: int) -> np.ndarray:
     """The first ``n`` powers of the ``k``-th base modulo its prime; 2**16 of them are kept."""
-    known = _POWERS.get(k, np.ones(1, np.uint64))
+    known = _POWERS.get(k, np.ones(1, np.uint32))
     p = np.uint64(PRIMES[k])
     while len(known) < max(n, 1 << 16):
         step = np.uint64(pow(BASES[k], len(known), PRIMES[k]))
-        known = np.concatenate((known, known * step % p))
+        known = np.concatenate((known, (known * step % p).astype(np.uint32)))
     _POWERS[k] = known[: 1 << 16]
     return known
 
@@ -213,12 +213,17 @@ def word_hash(values: np.ndarray, size: np.ndarray, which: int = 0) -> np.ndarra
     if not len(size):
         return np.zeros(0, np.uint64)
     run = np.cumsum(size) - size
-    place = np.arange(len(values)) - np.repeat(run, size)
-    values = values.astype(np.uint64) + np.uint64(1)
     longest, out = int(size.max()), np.zeros(len(size), np.uint64)
-    small = int(values.max()) * longest < 1 << 33  # sums of products stay below 2**64
+    place = np.arange(len(values), dtype=np.uint32)
+    place -= np.repeat(run.astype(np.uint32), size)
+    small = (int(values.max()) + 1) * longest < 1 << 33  # sums of products stay below 2**64
     for k in (2 * which, 2 * which + 1):
         p = np.uint64(PRIMES[k])
-        each = values * powers(k, longest)[place]
-        out = out << np.uint64(31) | np.add.reduceat(each if small else each % p, run) % p
+        power = powers(k, longest)[place]
+        each = power.astype(np.uint64)
+        each *= values
+        each += power  # that is, by the value and one
+        if not small:
+            each %= p
+        out = out << np.uint64(31) | np.add.reduceat(each, run) % p
     return mix(out)

@@ -26,7 +26,7 @@ MIN_SHARE = 0.8
 MIN_RUN = 13
 DRIFT = 4
 BLOCK_BYTES = 16 << 20
-BITS = 22
+BITS = 22  # of the bitmap of a mask's seeds, at most
 HELD = 1 << 21  # hits that are held at a time
 
 _ALNUM: list[np.ndarray] = []
@@ -83,8 +83,9 @@ def index(items: list[tuple[int, str | None]], share: float = MIN_SHARE) -> dict
     for mask, parts in masks.items():
         h, i, k = np.concatenate(parts, axis=1)
         order = np.argsort(h, kind="stable")
-        bits = np.zeros(1 << BITS, dtype=bool)
-        bits[h >> np.uint64(64 - BITS)] = True
+        wide = min(BITS, max(12, int(16 * len(h)).bit_length()))
+        bits = np.zeros(1 << wide, dtype=bool)
+        bits[h >> np.uint64(64 - wide)] = True
         tables[mask] = (h[order], i[order].astype(np.int64), k[order].astype(np.int64), np.packbits(bits))
     return {"ids": [i for i, _ in items], "words": words, "tables": tables}
 
@@ -200,7 +201,7 @@ class Scanner:
         """Places whose seed is one of the benchmark's: place, first entry and number of entries in the mask's table."""
         h, _, _, bits = self.tables[mask]
         s = seeds(w, mask)
-        near = np.flatnonzero(bits[s >> np.uint64(64 - BITS)])
+        near = np.flatnonzero(bits[s >> np.uint64(65 - len(bits).bit_length())])
         left, right = np.searchsorted(h, s[near], "left"), np.searchsorted(h, s[near], "right")
         d = np.searchsorted(at, near, side="right") - 1
         hit = (left < right) & (near + mask[-1] < at[d] + count[d])
