@@ -39,7 +39,7 @@ def aligned(base: str, places: np.ndarray, quote: str) -> tuple[float, list[tupl
     for _ in range(TURNS):
         if (b == MASKED).all():
             break
-        score, columns = kernels.local(a, b, MASKED)
+        score, columns = kernels.local(a, b, MASKED, least=MIN_SCORE)
         if score < MIN_SCORE:
             break
         run: list[int] | None = None

@@ -10,7 +10,8 @@ import numpy as np
 import pandas as pd
 from spanfusion.functions import kernels
 from spanfusion.functions.text import packed_places, unpacked_places
-from spanfusion.operators import align
+from spanfusion.operators import align, resolve
+from spanfusion.plans import providers
 
 
 def test_no_more_characters_are_equal_than_the_bound():
@@ -54,3 +55,36 @@ def test_places_take_less_room_than_their_text():
     for places in ([3], [0, 1, 2, 3], [7, 8, 900, 901], np.arange(50_000) * 2 + 5):
         assert unpacked_places(packed_places(np.array(places))).tolist() == list(places)
     assert len(packed_places(np.arange(100_000))) < 5_000
+
+
+def test_quotes_are_aligned_near_their_words_only():
+    r = random.Random(9)
+    text = " ".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(4000))
+    key = hashlib.sha256(b"2000").hexdigest()
+    began = time.process_time()
+    for _ in range(20):
+        at = r.randrange(10, 50)
+        share, spans = resolve.aligned(text, np.arange(len(text) + 1), key[:at] + key[at + 1 :] + " " + "q" * 70)
+        assert spans[0][0] == text.index(key) and spans[-1][1] >= text.index(key) + 64 and 0.4 < share < 0.6
+    assert time.process_time() - began < 6
+
+
+def test_answers_are_handed_on_a_few_rows_at_a_time(spark, monkeypatch):
+    held = []
+    frame = pd.DataFrame
+
+    def seen(rows, columns):
+        held.append(len(rows))
+        return frame(rows, columns=columns)
+
+    class Rows:
+        columns = None
+
+        def mapInPandas(self, run, kind):
+            return run
+
+    monkeypatch.setattr(providers.pd, "DataFrame", seen)
+    run = providers.called(Rows(), lambda row: row["chunk_idx"], "int")
+    given = frame({"doc_id": [1] * 1000, "chunk_idx": range(1000)})
+    out = pd.concat(list(run(iter([given]))))
+    assert out["answer"].tolist() == list(range(1000)) and max(held) <= 2 * providers.PIECE
