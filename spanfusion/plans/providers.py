@@ -23,6 +23,7 @@ ANCHOR = f"struct<text:string,page:int,boxes:array<{BOX}>>"
 CHAR_BOX = "struct<page:int,text:string,top:int,left:int,bottom:int,right:int>"
 CONCURRENT = 8
 RETRIES = 2
+PIECE = 64  # rows of which answers are held at a time
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,8 @@ def called(chunks: DataFrame, call: Callable[[dict], object], answer: str, concu
     """(doc_id, chunk_idx, answer, error, attempts): ``call`` of each row of ``chunks``.
 
     Each task has at most ``concurrent`` calls under way and as many answers
-    waiting, in the order of its rows; ``partitions`` spreads the rows first. A
+    waiting, in the order of its rows, and hands answers on PIECE at a time, as
+    a chunk may have thousands of boxes; ``partitions`` spreads the rows first. A
     call that fails is tried again ``retries`` times; the last failure is a row
     with an ``error`` and no answer, and stops no other call.
     """
@@ -56,19 +58,24 @@ def called(chunks: DataFrame, call: Callable[[dict], object], answer: str, concu
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(concurrent) as pool:
+            out, under_way = [], deque[tuple[dict, Future]]()
+
+            def take() -> None:
+                row, done = under_way.popleft()
+                out.append((row["doc_id"], row["chunk_idx"], *done.result()))
+
             for pdf in batches:
-                out, under_way = [], deque[tuple[dict, Future]]()
-
-                def take(out=out, under_way=under_way) -> None:
-                    row, done = under_way.popleft()
-                    out.append((row["doc_id"], row["chunk_idx"], *done.result()))
-
-                for row in pdf.to_dict("records"):
-                    if len(under_way) >= 2 * concurrent:
-                        take()
-                    under_way.append((row, pool.submit(_attempt, call, row, retries)))
-                while under_way:
-                    take()
+                for at in range(0, len(pdf), PIECE):
+                    for row in pdf.iloc[at : at + PIECE].to_dict("records"):
+                        if len(under_way) >= 2 * concurrent:
+                            take()
+                        under_way.append((row, pool.submit(_attempt, call, row, retries)))
+                    if len(out) >= PIECE:
+                        yield pd.DataFrame(out, columns=names)
+                        out.clear()
+            while under_way:
+                take()
+            if out:
                 yield pd.DataFrame(out, columns=names)
 
     return rows.mapInPandas(run, kind)
